@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 SPACES = r"[ \t\n\x0B\f\r]+"
 
+BATCH_BYTES = 8 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that their
-    Python workers can import it wherever the driver was started."""
+    Python workers can import it wherever the driver was started; and bound the
+    batches that go to these workers in bytes, since texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -23,7 +23,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least)
-    return out.where("u > v").distinct()
+    return out.where("u > v")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down")))).alias("e"))
+    each = ends.groupBy("e.x").agg(F.sum("e.down").alias("down"), F.min("e.down").alias("below"))
+    return each.where("down > 1 OR (down = 1 AND below = 0)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,17 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     every node but the least ones, which are their own component. Links with a null end
     and links of a node to itself say nothing."""
     a, b = links.columns
-    edges = common.stash(
-        links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(edges)
-    while before[0]:
-        after = common.stash(_star(_star(edges, True), False))
-        common.discard(edges)
-        edges, now = after, mark(after)
-        if now == before:
-            break
-        before = now
+    known = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    edges = common.stash(links.where(known).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    while not _settled(edges):
+        before, edges = edges, common.stash(_star(_star(edges, True), False).distinct())
+        common.discard(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -10,12 +10,14 @@ their Jaccard similarity is at least num/den. The way there:
    need not be exact to lose nothing: any one order will do. `entries` keeps of each
    text only its prefix, which any partner must meet.
 3. `meet` joins prefixes on the shingle, in buckets of bounded size, and pairs classes
-   under the length and positional filters. Shingles that the sketch calls very
-   frequent don't go there: in `frequent` each class meets one leader of each such
-   shingle, verified links merge classes into components, and only where a shingle
-   still spans several components do more leaders follow, four times as many in each
-   round, until all are done. So a group of near copies costs in proportion to its
-   size, and no link between components is lost.
+   under the length and positional filters. The prefixes are a twentieth longer than one
+   common shingle asks for; so partners share a twentieth more, and classes that share less
+   than that with all others together are out. Shingles that the sketch calls very
+   frequent don't go there, nor do those left with more than ALL_PAIRS classes: in
+   `frequent` each class meets one leader of each such shingle, verified links merge classes
+   into components, and only where a shingle still spans several components do classes
+   outside its largest one meet the others, until all are done. So a group of near copies
+   costs in proportion to its size, and no link between components is lost.
 4. `verify` decides each pair once: the suffix filter bounds the overlap by the sizes of
    the parts that fixed pivots cut the sets into, then the sorted sets are intersected.
 5. `components` follows the links.
@@ -32,15 +34,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalquarry.llm import common, tokens
+from evalquarry.llm import bitmaps, common, tokens
 from evalquarry.llm.components import components
 
 CELLS, SLICES = 1 << 20, 64
 BUCKET = 1_500_000  # prefix entries in a bucket, on average
-ALL_PAIRS = 24  # classes of one shingle that are paired directly
+ALL_PAIRS = 6  # classes of one shingle that are paired directly
+OUTSIDERS = 32
+GUESSES, GUESS_FROM = 2, 4
+ASKED_SHINGLES, ASKED_BLOCKS = 2_000_000, 8
 PIVOTS = 64
 
 
@@ -55,8 +61,19 @@ class Rule:
     def least_overlap(self, both: np.ndarray) -> np.ndarray:
         return -(-self.num * both // (self.num + self.den))
 
-    def prefix(self, n: np.ndarray) -> np.ndarray:
-        return np.where(n > 0, n - -(-self.num * n // self.den) + 1, 0)
+    def prefix(self, n):  # noqa: ANN001, ANN201
+        """Shingles of which partners share one at least."""
+        return n - -(-self.num * n // self.den) + 1
+
+    def support(self, n):  # noqa: ANN001, ANN201
+        """Among the first prefix(n) + support(n) shingles of either of two partners they
+        share 1 + support of the smaller one's size, as both only leave out so many."""
+        return n // 20
+
+    def needed(self, n):  # noqa: ANN001, ANN201
+        """Shingles of that longer prefix that a text with a partner shares with others:
+        the partner has num/den of its shingles at least."""
+        return 1 + self.support(-(-self.num * n // self.den))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -149,7 +166,7 @@ def entries(docs: DataFrame, rule: Rule, sketch, buckets: int, hot_from: int) ->
                 c = count[_cells(h)]
                 order = rare_first(h, bounds, c)
                 pos = np.arange(len(h)) - np.repeat(bounds[:-1], n)
-                keep = pos < np.repeat(rule.prefix(n), n)
+                keep = pos < np.repeat(rule.prefix(n) + rule.support(n), n)
                 pick = order[keep]
                 parts.append((h[pick], pos[keep], np.repeat(np.arange(lo, lo + len(n)), n)[keep], c[pick] >= hot_from))
             if not parts:
@@ -191,9 +208,10 @@ def may_link(rule: Rule, pos_a, n_a, pos_b, n_b):
     return (rule.den * small >= rule.num * large) & (np.minimum(n_a - pos_a, n_b - pos_b) >= rule.least_overlap(n_a + n_b))
 
 
-def paired(rule: Rule, tok: np.ndarray, pos: np.ndarray, f1: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: candidate pairs (a, b), each once, and which entries are of
-    shingles with more classes than ALL_PAIRS (given as indices)."""
+def paired(rule: Rule, tok: np.ndarray, pos: np.ndarray, f1: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket: candidate pairs (a, b), each once; which entries are of shingles
+    with more classes than ALL_PAIRS and within the prefix; and which are of shingles
+    with more classes than one (both as indices)."""
     order = np.lexsort((pos, n, f1, tok))
     t, c, m, p = tok[order], f1[order], n[order], pos[order]
     new = np.ones(len(t), bool)
@@ -201,21 +219,28 @@ def paired(rule: Rule, tok: np.ndarray, pos: np.ndarray, f1: np.ndarray, n: np.n
     order, t, c, m, p = order[new], t[new], c[new], m[new], p[new]
     starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
     size = np.diff(np.append(starts, len(t)))
+    shared = order[np.repeat(size > 1, size)]
+    inner = p < rule.prefix(m)
+    big = order[np.repeat(size > ALL_PAIRS, size) & inner]
+    few = inner & np.repeat((size > 1) & (size <= ALL_PAIRS), size)
+    t, c, m, p = t[few], c[few], m[few], p[few]
+    starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+    size = np.diff(np.append(starts, len(t)))
     found = []
-    for s in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
+    for s in np.unique(size[size > 1]):
         g = starts[size == s]
         i, j = np.triu_indices(s, 1)
         a, b = (g[:, None] + i).ravel(), (g[:, None] + j).ravel()
         ok = may_link(rule, p[a], m[a], p[b], m[b]) & (c[a] != c[b])
         found.append(np.stack([np.minimum(c[a], c[b])[ok], np.maximum(c[a], c[b])[ok]], 1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    big = np.repeat(size > ALL_PAIRS, size)
-    return pairs[:, 0], pairs[:, 1], order[big]
+    return pairs[:, 0], pairs[:, 1], big, shared
 
 
 def meet(packed: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """Rows (a, b): pairs of classes, by f1; and rows (tok, a, n, pos) without b: entries
-    of shingles with many classes, for `frequent`."""
+    """Rows (a, b): pairs of classes, by f1; rows (tok, a, n, pos) without b: entries of
+    shingles with many classes, for `frequent`; and rows (a, n, pos) without tok and b: pos of
+    the first shingles of class a, of n, are shared with other classes."""
     names = ["tok", "a", "b", "n", "pos"]
 
     def out(tok, a, b, n, pos):
@@ -224,75 +249,46 @@ def meet(packed: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             cut = lambda x: none(x).slice(lo, 1 << 16)
             yield pa.RecordBatch.from_arrays([cut(x) for x in (tok, a, b, n, pos)], names=names)
 
+    def counted(f1, n):
+        each, times = np.unique(np.stack([f1, n], 1), axis=0, return_counts=True) if len(f1) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        return each[:, 0].copy(), None, each[:, 1].copy(), times
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             for _, *row, hot in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if hot:
                     tok, pos, f1, n = _unpack([row])
-                    yield from out(tok.view(np.int64), f1, None, n, pos)
+                    yield from out(None, *counted(f1, n))
+                    inner = pos < rule.prefix(n)
+                    yield from out(tok[inner].view(np.int64), f1[inner], None, n[inner], pos[inner])
                 else:
                     held.append(row)
         if held:
             tok, pos, f1, n = _unpack(held)
             held.clear()
-            a, b, big = paired(rule, tok, pos, f1, n)
+            a, b, big, shared = paired(rule, tok, pos, f1, n)
+            yield from out(None, *counted(f1[shared], n[shared]))
             yield from out(None, a, b, None, None)
             yield from out(tok[big].view(np.int64), f1[big], None, n[big], pos[big])
 
     return packed.repartition(buckets, "bucket").mapInArrow(run, "tok bigint, a bigint, b bigint, n bigint, pos bigint")
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed-size filter of the ids (one column): False means surely absent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(CELLS * 8, bool)
-        for batch in batches:
-            bits[_spot(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        parts = np.packbits(bits).reshape(SLICES, -1)
-        used = [i for i in range(SLICES) if parts[i].any()]
-        if used:
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["slice", "bits"])
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                new = np.frombuffer(blob.as_buffer(), np.uint8)
-                total[at] = total[at] | new if at in total else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "bits"])
-
-    out = np.zeros((SLICES, CELLS // SLICES), np.uint8)
-    for row in ids.mapInArrow(run, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(either, "slice int, bits binary").collect():
-        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(out.reshape(-1)).astype(bool)
-
-
-def _spot(ids: np.ndarray) -> np.ndarray:
-    return (tokens.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(41)).astype(np.int64)
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """wanted: rep, f1, f2 of classes. Returns rep and the sorted shingles of each. A
-    bitmap of fixed size keeps most other texts from being packed; the join is exact."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(wanted.select("rep"))))
+    """rep and the sorted shingles of every document whose doc_id is a rep of wanted, and
+    of the few that the bitmap can't tell from them; joins on rep leave these out."""
+    packed = docs.sparkSession.sparkContext.broadcast(bitmaps.bitmap(wanted.select("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(there[_spot(ids)]))
-            if not batch.num_rows:
-                continue
-            for lo, h, bounds in shingle_sets(batch.column(1), rule.k):
-                f1, f2 = fingerprints(h, bounds)
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            batch = batch.filter(pa.array(bitmaps.present(packed.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            for lo, h, bounds in shingle_sets(batch.column(1), rule.k) if batch.num_rows else ():
                 blobs = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(blobs)), pa.array(f1), pa.array(f2), pa.array(blobs, pa.binary())], names=["rep", "f1", "f2", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(blobs)), pa.array(blobs, pa.binary())], names=["rep", "shingles"])
 
-    packed = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "rep bigint, f1 bigint, f2 bigint, shingles binary")
-    # rows that repeat a doc_id and text give the same set again
-    return packed.join(wanted, ["rep", "f1", "f2"]).groupBy("rep", "f1", "f2").agg(F.first("shingles").alias("shingles")).select("rep", "shingles")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "rep bigint, shingles binary")
 
 
 def linked(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
@@ -329,35 +325,118 @@ def _filters(rule: Rule, x: str, y: str) -> Column:
     return (rule.den * F.least(n, m) >= rule.num * F.greatest(n, m)) & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= least)
 
 
+class Asked:
+    """A block of classes with their sets, by shingle, to be met by any other set."""
+
+    def __init__(self, reps: list[int], sets: list[np.ndarray]) -> None:
+        self.reps, self.n = np.array(reps, np.int64), np.array([len(x) for x in sets], np.int64)
+        tok = np.concatenate(sets)
+        order = np.argsort(tok, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)[order]
+        self.toks, self.first = np.unique(tok[order], return_index=True)
+        self.first = np.append(self.first, len(tok))
+
+    def partners(self, s: np.ndarray, rule: Rule) -> np.ndarray:
+        """Which of the block's classes link with the set s, by exact overlaps."""
+        at = np.minimum(np.searchsorted(self.toks, s), len(self.toks) - 1)
+        at = at[self.toks[at] == s]
+        both, size = np.zeros(len(self.n), np.int64), self.first[at + 1] - self.first[at]
+        ends = np.cumsum(size)
+        for lo in range(0, len(at), 4096):
+            a, k = at[lo : lo + 4096], size[lo : lo + 4096]
+            inner = np.arange(int(k.sum())) - np.repeat(ends[lo : lo + 4096] - k - (ends[lo] - size[lo]), k)
+            both += np.bincount(self.owners[np.repeat(self.first[a], k) + inner], minlength=len(both))
+        return self.reps[rule.den * both >= rule.num * (len(s) + self.n - both)]
+
+
+def asked(sets: DataFrame, few: DataFrame, rule: Rule) -> Iterator[DataFrame]:
+    """Links (a, b) of the classes of few (rep) with all others, block by block of them."""
+    spark, held, size = sets.sparkSession, ([], []), 0
+
+    def meeting(shared) -> DataFrame:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            for batch in batches:
+                pairs = [(y, x) for y, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in block.partners(np.frombuffer(blob.as_buffer(), np.uint64), rule).tolist() if x != y]
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        return sets.mapInArrow(run, "a bigint, b bigint")
+
+    for row in sets.join(few, "rep").toLocalIterator():
+        held[0].append(row["rep"])
+        held[1].append(np.frombuffer(row["shingles"], np.uint64))
+        size += len(held[1][-1])
+        if size >= ASKED_SHINGLES:
+            yield meeting(spark.sparkContext.broadcast(Asked(*held)))
+            held, size = ([], []), 0
+    if held[0]:
+        yield meeting(spark.sparkContext.broadcast(Asked(*held)))
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of (x, y), one row per common shingle, the y that shares most with each x."""
+    each = pairs.groupBy("x", "y").agg(F.count("*").alias("k"))
+    top = each.groupBy("x").agg(F.max(F.struct("k", "y")).alias("t"))
+    return top.select(F.least("x", "t.y").alias("a"), F.greatest("x", "t.y").alias("b"))
+
+
+def _few(named: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """The classes outside the largest component of a shingle, if their sets are small enough."""
+    few = common.stash(named.join(open_.select("tok", "main"), "tok").where("c <> main").select("rep").distinct())
+    size = sets.join(few, "rep").agg(F.sum(F.length("shingles"))).first()[0] or 0
+    return few if size <= 8 * ASKED_SHINGLES * ASKED_BLOCKS else None
+
+
 def frequent(hot: DataFrame, first: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """All links that matter to components: those among `first`, pairs found elsewhere,
-    and those between classes of one shingle of hot (tok, rep, n, pos)."""
+    """Components of all links: those among `first`, pairs found elsewhere, and those
+    between classes of one shingle of hot (tok, rep, n, pos).
+
+    A shingle's largest component needs no further pair within it, so it is done once every
+    class outside that component has met all classes of other components. Before that, in
+    GUESSES rounds each class outside meets, for each of its shingles, a member of the
+    largest component there that a hash picks; this merges most of them. If the sets of those
+    still outside fit into ASKED_BLOCKS blocks, these blocks are asked against all sets: overlaps are
+    counted where the sets lie and no pair is emitted for each common shingle. Where they
+    are more, they meet by shingles: up to OUTSIDERS classes of one shingle at once, and of
+    more a growing part leads in each round."""
     u = (F.xxhash64("rep").cast("double") / 2.0**64 + 0.5).alias("u")
     hot = common.stash(hot.select("tok", "rep", "n", "pos", u).distinct())
+    meet_ = lambda x, y: (F.col(f"{x}.rep").alias("x"), F.col(f"{y}.rep").alias("y"))
     lead = hot.groupBy("tok").agg(F.min(F.struct("u", "rep", "n", "pos")).alias("l"))
-    pair = lambda x, y: (F.least(f"{x}.rep", f"{y}.rep").alias("a"), F.greatest(f"{x}.rep", f"{y}.rep").alias("b"))
-    one = hot.alias("x").join(lead.select("tok", "l.*").alias("y"), "tok").where(F.col("x.rep") != F.col("y.rep"))
-    one = one.where(_filters(rule, "x", "y")).select(*pair("x", "y"))
-    links = common.stash(verify(first.union(one).distinct(), sets, rule))
-    if hot.isEmpty():
-        return links
-    done = 0.0
+    one = hot.alias("x").join(lead.select("tok", "l.*").alias("y"), "tok").where(F.col("x.rep") != F.col("y.rep")).where(_filters(rule, "x", "y"))
+    label = components(verify(first.union(_likeliest(one.select(*meet_("x", "y")))).distinct(), sets, rule))
+    done: DataFrame | None = None
+    limit, guesses = OUTSIDERS, 0
     while True:
-        label = components(links)
         named = hot.join(label, hot["rep"] == label["node"], "left").select("tok", "rep", "n", "pos", "u", F.coalesce("component", "rep").alias("c"))
-        open_ = named.groupBy("tok").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok", "m")
-        left = common.stash(named.join(open_, "tok"))
-        until = max(4.0, 4 * done)
-        more = left.agg(F.max("m")).first()[0]
-        if more is None or done >= more:
-            common.discard(left)
-            return links
-        x, y = left.alias("x"), left.where((F.col("u") * F.col("m") >= done) & (F.col("u") * F.col("m") < until)).alias("y")
-        found = x.join(y, "tok").where((F.col("x.c") != F.col("y.c")) & _filters(rule, "x", "y")).select(*pair("x", "y")).distinct()
-        new = common.stash(verify(found, sets, rule).union(links))
-        common.discard(links)
-        common.discard(left)
-        links, done = new, until
+        named = common.stash(named)
+        sizes = named.groupBy("tok", "c").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep", "tok", F.lit(guesses)).alias("h"), "rep", "n", "pos")).alias("l"))
+        sizes = sizes.groupBy("tok").agg(F.max(F.struct("k", "c", "l")).alias("top"), F.sum("k").alias("m"))
+        open_ = sizes.select("tok", F.col("top.c").alias("main"), F.col("top.l").alias("l"), (F.col("m") - F.col("top.k")).alias("outside")).where("outside > 0")
+        open_ = common.stash(open_ if done is None else open_.join(done, "tok", "left_anti"))
+        biggest = open_.agg(F.max("outside")).first()[0]
+        if biggest is None:
+            return label
+        if guesses < GUESSES and biggest > GUESS_FROM:
+            guesses += 1
+            out = named.join(open_.select("tok", "main"), "tok").where("c <> main")
+            found = out.alias("x").join(open_.select("tok", "l.*").alias("y"), "tok").where(_filters(rule, "x", "y"))
+            found = found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        elif (few := _few(named, open_, sets)) is not None:
+            for found in asked(sets, few, rule):
+                label = components(found.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            return label
+        else:
+            leads = named.join(open_, "tok").where((F.col("c") != F.col("main")) & ((F.col("outside") <= limit) | (F.col("u") * F.col("outside") < limit)))
+            leads = leads.select("tok", "rep", "n", "pos", "c")
+            found = named.alias("x").join(leads.alias("y"), "tok").where((F.col("x.c") != F.col("y.c")) & _filters(rule, "x", "y"))
+            found = found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            closed = open_.where(F.col("outside") <= limit).select("tok")
+            done = closed if done is None else done.union(closed)
+            limit *= 4
+        label = components(verify(found, sets, rule).union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if done is not None and biggest <= limit // 4:
+            return label
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -366,7 +445,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     common.ship(spark)
     scanned = common.stash(scan(docs, rule))
     rows = scanned.where("slice is null").select("doc_id", "n", "f1", "f2")
-    prefix = F.col("n") - F.ceil(rule.num * F.col("n") / rule.den - 1e-9) + 1
+    prefix = F.col("n") - F.ceil(rule.num * F.col("n") / rule.den - 1e-9) + 1 + F.floor(F.col("n") / 20)
     total = rows.where("n > 0").agg(F.sum(prefix), F.count("*"), F.sum("n")).first()
     if not total[1]:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
@@ -376,16 +455,17 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     hot_from = 500 + 8 * int(total[2]) // CELLS
     met = common.stash(meet(entries(docs, rule, sketch, buckets, hot_from), rule, buckets))
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null")
-    used = met.select(F.col("a").alias("f1")).union(met.where("b is not null").select("b")).distinct()
-    wanted = common.stash(classes.join(used, "f1").select("f1", "f2", "rep"))
-    sets = common.stash(sets_of(docs, wanted, rule))
+    # only classes that share enough with others can have a partner
+    alive = met.where("tok is null and b is null").groupBy(F.col("a").alias("f1"), "n").agg(F.sum("pos").alias("shared"))
+    alive = alive.where(F.col("shared") >= 1 + F.floor(F.ceil(rule.num * F.col("n") / rule.den - 1e-9) / 20))
+    wanted = common.stash(classes.join(alive, ["f1", "n"]).select("f1", "rep").distinct())
+    sets = common.stash(sets_of(docs, wanted, rule))  # the one copy of what verify reads in each round
     name = wanted.select("f1", "rep")
     side = lambda k: name.select(F.col("f1").alias(k), F.col("rep").alias(f"r{k}"))
     pairs = met.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    hot = met.where("b is null").join(side("a"), "a").select("tok", F.col("ra").alias("rep"), "n", "pos")
-    links = frequent(hot, pairs, sets, rule)
-    label = components(links)
+    hot = met.where("tok is not null").join(side("a"), "a").select("tok", F.col("ra").alias("rep"), "n", "pos")
+    label = frequent(hot, pairs, sets, rule)
     copied = classes.where("copies > 1").select("f1", "f2", "n", "rep")
     out = rows.join(copied, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
     return (
