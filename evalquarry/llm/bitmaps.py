@@ -6,10 +6,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evalquarry.llm import common, tokens
 
@@ -53,14 +51,3 @@ def bitmap(ids: DataFrame, log_bits: int = LOG_BITS) -> np.ndarray:
 def present(packed: np.ndarray, ids: np.ndarray, log_bits: int = LOG_BITS) -> np.ndarray:
     at = spot(ids, log_bits)
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
-
-def maybe(packed, column: str, log_bits: int = LOG_BITS):
-    """A condition on an id column (packed: a broadcast bitmap); false for nulls."""
-
-    @F.pandas_udf("boolean")
-    def test(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        return pd.Series(present(packed.value, ids.fillna(0).to_numpy(np.int64), log_bits)) & known.reset_index(drop=True)
-
-    return test(F.col(column).cast("bigint"))

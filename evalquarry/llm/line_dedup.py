@@ -87,6 +87,11 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     cols, names = docs.columns, [*docs.columns, "lines_before", "lines_removed"]
     at = cols.index("text")
 
+    def marked(batch: pa.RecordBatch) -> np.ndarray:
+        ids = batch.column(cols.index("doc_id")).cast(pa.int64())
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        return known & bitmaps.present(packed.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(len(cols)) if batch.num_columns > len(cols) else pa.nulls(batch.num_rows)
@@ -95,8 +100,14 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
             new[at] = pa.array([r[0] for r in rows], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([*new, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=names)
 
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.filter(pa.array(~marked(b))) for b in batches)
+
+    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.filter(pa.array(marked(b))) for b in batches)
+
     schema = docs.withColumns({"lines_before": F.lit(0).cast("bigint"), "lines_removed": F.lit(0).cast("bigint")}).schema
-    hit = bitmaps.maybe(packed, "doc_id")
     starts = starts.select(F.col("doc_id").alias("_cut_id"), F.col("starts").alias("_cut_starts"))
-    inside = docs.where(hit).join(starts, F.col("doc_id").cast("bigint") == F.col("_cut_id"), "left").drop("_cut_id")
-    return inside.mapInArrow(run, schema).union(docs.where(~hit).mapInArrow(run, schema))
+    inside = docs.mapInArrow(perhaps, docs.schema)
+    inside = inside.join(starts, F.col("doc_id").cast("bigint") == F.col("_cut_id"), "left").drop("_cut_id")
+    return inside.mapInArrow(run, schema).union(docs.mapInArrow(sure, schema))

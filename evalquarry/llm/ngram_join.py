@@ -42,7 +42,7 @@ from evalquarry.llm import bitmaps, common, tokens
 from evalquarry.llm.components import components
 
 CELLS, SLICES = 1 << 20, 64
-BUCKET = 1_500_000  # prefix entries in a bucket, on average
+BUCKET = 600_000  # prefix entries in a bucket, on average
 ALL_PAIRS = 6  # classes of one shingle that are paired directly
 OUTSIDERS = 32
 GUESSES, GUESS_FROM = 2, 4
