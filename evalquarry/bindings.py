@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalquarry.plans.storage import saved
+
 _SPARK_DOT = "aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"
 _DUCK_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 
@@ -109,11 +111,17 @@ DUCK = {
 _BASE = {"V": ["embeddings"], "L": ["benchmark", "documents"], "M": ["lineitem"], "T": ["events"], "G": ["documents"]}
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Evidence:
-    """The tables of a binding as DataFrames: ev = Evidence(spark, sf_dir, "V"); ev("cands")."""
+    """The tables of a binding as DataFrames: ev = Evidence(spark, sf_dir, "V"); ev("cands").
+
+    Traces are stored tables that many queries read: those of V are written once per
+    application and folder, so no query works the pipeline out again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, binding: str) -> None:
-        self.spark, self.binding = spark, binding
+        self.spark, self.sf_dir, self.binding = spark, sf_dir, binding
         self.tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _BASE[binding]}
         self.text = SPARK[binding]
         for t in self.tables:
@@ -122,7 +130,13 @@ class Evidence:
     def __call__(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
-        return self.spark.sql(f"WITH {self.text} SELECT * FROM {name}", **self.tables)
+        df = self.spark.sql(f"WITH {self.text} SELECT * FROM {name}", **self.tables)
+        if self.binding != "V":
+            return df
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _kept:
+            _kept[key] = saved(df)
+        return _kept[key]
 
 
 def oracle(binding: str, query: str) -> str:
