@@ -39,7 +39,6 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 SAMPLE_RECORDS = 800
 SAMPLE_BYTES = 8_000
 DICTIONARY_BYTES = 64 * 1024
-ARCHIVE_BYTES = 48_000_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -115,10 +114,10 @@ def records(archive: bytes) -> Iterator[dict]:
 def train(pages: DataFrame, date: str, sample: int = SAMPLE_RECORDS) -> bytes:
     """A dictionary from the records of the first `sample` pages by a hash of their ids;
     of each the first SAMPLE_BYTES, which bounds what the driver holds."""
-    rows = (
-        pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id").alias("h"))
-        .orderBy("h", "page_id", "url", "html").limit(sample).collect()
-    )
+    some = [r["page_id"] for r in pages.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    html = F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")
+    rows = pages.where(F.col("page_id").isin(some)).select("page_id", "url", html).limit(2 * sample).collect()
+    rows.sort(key=lambda r: (r["page_id"], r["url"] or "", r["html"]))
     cut = [record(r["page_id"], r["url"], p := r["html"].encode(), digest_of(p), None, date) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, cut).as_bytes()
@@ -146,8 +145,6 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", min
     groups = big.groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "keeper")
     # rows whose payload is kept by another page, once per page and digest
     revisits = big.join(groups, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("page_id", "payload_digest", "keeper").distinct()
-    total = known.agg(F.sum("payload_bytes")).first()[0] or 0
-    archives = max(1, -(-total // ARCHIVE_BYTES))
     dictionary = train(pages, date)
     each = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     each = each.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
@@ -170,7 +167,7 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", min
                 out.append(press.compress(record(page.as_py(), url.as_py(), payload, digest_of(payload), keeper.as_py(), date)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows = typed.repartition(max(archives, common.partitions(spark))).mapInArrow(run, "value binary")
+    rows = typed.mapInArrow(run, "value binary")  # an archive is a partition of the join
     rows.select(F.col("value").cast("string")).write.option("lineSep", SPACER.decode("latin1")).text(folder)
     common.discard(known)
 
@@ -181,19 +178,24 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     common.ship(spark)
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: None if x is None else int(x)
         for batch in batches:
             for archive in batch.column(0):
                 rows: list[tuple] = []
                 for r in records(archive.as_py()):
+                    if len(rows) == 200:
+                        yield table(rows)
+                        rows.clear()
                     f = r["fields"]
                     response = f["WARC-Type"] == "response"
                     rows.append((number(f.get("X-Page-Id")), f["WARC-Target-URI"], f["WARC-Type"], int(f["X-Payload-Length"]), r["digest"], number(f.get("X-Refers-To-Page")), r["payload"] if response else None))
-                for lo in range(0, len(rows), 1000):
-                    cols = list(zip(*rows[lo : lo + 1000], strict=True))
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                if rows:
+                    yield table(rows)
 
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
     files = spark.read.format("binaryFile").load(folder).select("content")
