@@ -54,12 +54,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, waves: int = 4) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends
-    there, and any executor can read it again after a loss."""
+    there, and any executor can read it again after a loss. The table has at most `waves`
+    files for each core of the cluster, so small tables don't become many small files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evalquarry/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(waves * spark.sparkContext.defaultParallelism).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out

@@ -39,8 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     and links of a node to itself say nothing."""
     a, b = links.columns
     known = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    edges = common.stash(links.where(known).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    edges = common.stash(links.where(known).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), 1)
     while not _settled(edges):
-        before, edges = edges, common.stash(_star(_star(edges, True), False).distinct())
+        before, edges = edges, common.stash(_star(_star(edges, True), False).distinct(), 1)
         common.discard(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -70,8 +70,8 @@ def tilts(histogram: DataFrame, sources: DataFrame, most: int = 2) -> DataFrame:
     known = histogram.where("size > 0").groupBy("number").agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("scale"))
     open_ = sources.where((F.col("target") > 0) & (F.col("target") < F.col("source_size") * most))
     state = open_.join(known, "number").select("number", "target", "source_size", "scale", F.lit(0.0).alias("lam"), F.lit(-800.0).alias("lo"), F.lit(800.0).alias("hi"), F.lit(1.0).alias("miss"))
-    state = common.stash(state)
-    rows = common.stash(histogram.where("size > 0"))
+    state = common.stash(state, 1)
+    rows = common.stash(histogram.where("size > 0"), 1)
     for _ in range(STEPS):
         x = F.col("size") / F.col("scale")
         p = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("lam") * x))))
@@ -87,7 +87,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, most: int = 2) -> DataFrame:
             .select("number", "target", "source_size", "scale", F.when(gap == 0, F.col("lam")).when(inside, newton).otherwise((F.col("lo2") + F.col("hi2")) / 2).alias("lam"),
                     F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.abs(gap) / F.greatest(F.col("source_size"), F.lit(1))).cast("double").alias("miss"))
         )
-        before, state = state, common.stash(after)
+        before, state = state, common.stash(after, 1)
         common.discard(before)
         worst = state.where("hi - lo > 1e-12").agg(F.max("miss")).first()[0]
         if worst is None or worst < TOLERANCE:

@@ -382,7 +382,7 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 
 def _few(named: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame | None:
     """The classes outside the largest component of a shingle, if their sets are small enough."""
-    few = common.stash(named.join(open_.select("tok", "main"), "tok").where("c <> main").select("rep").distinct())
+    few = common.stash(named.join(open_.select("tok", "main"), "tok").where("c <> main").select("rep").distinct(), 1)
     size = sets.join(few, "rep").agg(F.sum(F.length("shingles"))).first()[0] or 0
     return few if size <= 8 * ASKED_SHINGLES * ASKED_BLOCKS else None
 
@@ -409,11 +409,11 @@ def frequent(hot: DataFrame, first: DataFrame, sets: DataFrame, rule: Rule) -> D
     limit, guesses = OUTSIDERS, 0
     while True:
         named = hot.join(label, hot["rep"] == label["node"], "left").select("tok", "rep", "n", "pos", "u", F.coalesce("component", "rep").alias("c"))
-        named = common.stash(named)
+        named = common.stash(named, 1)
         sizes = named.groupBy("tok", "c").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep", "tok", F.lit(guesses)).alias("h"), "rep", "n", "pos")).alias("l"))
         sizes = sizes.groupBy("tok").agg(F.max(F.struct("k", "c", "l")).alias("top"), F.sum("k").alias("m"))
         open_ = sizes.select("tok", F.col("top.c").alias("main"), F.col("top.l").alias("l"), (F.col("m") - F.col("top.k")).alias("outside")).where("outside > 0")
-        open_ = common.stash(open_ if done is None else open_.join(done, "tok", "left_anti"))
+        open_ = common.stash(open_ if done is None else open_.join(done, "tok", "left_anti"), 1)
         biggest = open_.agg(F.max("outside")).first()[0]
         if biggest is None:
             return label
