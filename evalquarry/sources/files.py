@@ -13,8 +13,8 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array, a single object or JSON lines, whichever the file is."""
-    head = spark.read.option("wholetext", True).text(path).select(F.left(F.ltrim("value"), F.lit(1)).alias("c"), F.try_parse_json("value").isNotNull().alias("whole"))
-    one = head.agg(F.bool_and((F.col("c") == "[") | F.col("whole"))).first()[0]
+    head = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "").select(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull()).first()
+    one = head is not None and not head[0]  # else the first line is an object of its own
     return spark.read.schema(schema).option("multiLine", True).json(path) if one else json_lines(spark, path, schema)
 
 

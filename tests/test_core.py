@@ -1,0 +1,158 @@
+"""Hand-computed values, exact enumerations, graph rules and plans."""
+
+import itertools
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from evalquarry.functions import scalar as X
+from evalquarry.operators import comparison as C
+from evalquarry.operators import release
+from evalquarry.operators import retrieval as R
+from evalquarry.operators import scoring as S
+from evalquarry.plans import graph
+from evalquarry.sources import files, store
+from evalquarry.streaming import ingest
+
+
+def lists(spark, *ids):
+    return spark.createDataFrame([("q", d, i + 1) for i, d in enumerate(ids)], "query_id string, doc_id string, rank int")
+
+
+def judged(spark, **grades):
+    return spark.createDataFrame([("q", d, g) for d, g in grades.items()], "query_id string, doc_id string, grade int")
+
+
+def measure(spark, ids, grades, ks=(3, 10)):
+    return S.measures(lists(spark, *ids), judged(spark, **grades), list(ks), []).first()
+
+
+def test_ranking_values(spark):
+    r = measure(spark, ["d1", "d4", "d5"], {"d1": 1, "d2": 1})
+    assert r["recall_3"] == 0.5 and math.isclose(r["precision_3"], 1 / 3)
+    assert measure(spark, ["d2", "d1", "d3"], {"d1": 1})["mrr"] == 0.5
+    assert math.isclose(measure(spark, ["d1", "d3", "d2"], {"d1": 1, "d2": 1})["ap"], (1 + 2 / 3) / 2)
+    log = math.log2
+    want = (1 / log(2) + 3 / log(3) + 2 / log(5)) / (3 / log(2) + 2 / log(3) + 1 / log(4))
+    assert math.isclose(measure(spark, ["b", "a", "x", "c"], {"a": 3, "b": 1, "c": 2})["ndcg_graded_10"], want)
+    assert math.isclose(measure(spark, ["b", "a"], {"a": 2, "b": -1})["ndcg_graded_10"], 1 / log(3))
+
+
+def test_list_forms_equal_row_forms(spark):
+    row = spark.createDataFrame([(["d1", "d3", "d1", "d2"], ["d1", "d2"])], "ids array<string>, rel array<string>")
+    got = row.select(X.recall_at_k(F.col("ids"), F.col("rel"), 2).alias("r"), X.average_precision(F.col("ids"), F.col("rel")).alias("ap"), X.reciprocal_rank(F.col("ids"), F.col("rel")).alias("rr")).first()
+    assert (got["r"], got["rr"]) == (0.5, 1.0) and math.isclose(got["ap"], (1 + 2 / 3) / 2)
+
+
+def test_queries_without_relevant_documents_give_no_row(spark):
+    assert S.measures(lists(spark, "a"), judged(spark, a=0), [3], []).count() == 0
+
+
+def test_bm25_finds_only_what_matches(spark):
+    docs = [(f"f{i:02d}", w) for i in range(18) for w in ("plain", "filler", "words")] + [("hit1", "zebra"), ("hit2", "zebra")]
+    got = R.bm25(spark.createDataFrame([("q", "zebra")], "query_id string, w string"), spark.createDataFrame(docs, "doc_id string, w string"), 10).orderBy("rank").collect()
+    assert [(r["doc_id"], r["rank"]) for r in got] == [("hit1", 1), ("hit2", 2)]
+
+
+def test_dense_in_blocks_equals_broadcast(spark, monkeypatch):
+    e = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id bigint, embedding array<float>")
+    q, d = e.where("id % 4 = 0").select(F.col("id").alias("query_id"), "embedding"), e.select(F.col("id").alias("doc_id"), "embedding")
+    whole = sorted(map(tuple, R.dense(q, d, 5).collect()))
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, R.dense(q, d, 5).select("query_id", "doc_id", "score", "rank").collect())) == whole
+
+
+def test_top_k_is_limited_before_the_shuffle(spark):
+    plan = R.ranked(spark.range(1000).select((F.col("id") % 5).alias("query_id"), F.col("id").alias("doc_id"), F.rand(1).alias("score")), *R.by_score(), top_k=3)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") == 2
+
+
+def test_undeclared_route_fails(spark):
+    with pytest.raises(Exception, match="undeclared route"):
+        R.gate(lists(spark, "a"), F.lit("other"), ["x"]).collect()
+
+
+def test_sign_flip_against_enumeration():
+    assert C.sign_flip_p([0.0] * 30, [1.0] * 30) == 1 / 1001
+    assert C.sign_flip_p([0.3, 0.4], [0.3, 0.4]) == 1.0
+    before, after = [0.1, 0.4, 0.2, 0.5, 0.3, 0.7, 0.2, 0.6, 0.1, 0.4], [0.213, 0.307, 0.431, 0.617, 0.223, 0.911, 0.347, 0.729, 0.119, 0.643]
+    d = [a - b for a, b in zip(after, before, strict=True)]
+    seen = abs(sum(d))
+    exact = sum(abs(sum(x * s for x, s in zip(d, signs, strict=True))) >= seen - 1e-12 for signs in itertools.product((1, -1), repeat=10)) / 1024
+    assert abs(C.sign_flip_p(before, after, 4000) - exact) < 0.02
+
+
+def test_bootstrap_intervals():
+    assert C.bootstrap_ci([]) == (0.0, 0.0) and C.bootstrap_ci([0.5] * 4) == (0.5, 0.5)
+    low, high = C.bootstrap_ci([0.0, 1.0] * 20)
+    assert low < 0.5 < high
+    effect, low, high = C.effect_ci([0.1, 0.2, 0.3], [0.2, 0.3, 0.4])
+    assert math.isclose(effect, 0.1) and math.isclose(low, 0.1) and math.isclose(high, 0.1)
+
+
+def test_benjamini_hochberg(spark):
+    rows = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5)], "key string, p double")
+    q = {r["key"]: round(r["q"], 6) for r in C.benjamini_hochberg(rows, "p", "key").collect()}
+    assert q == {"a": 0.04, "b": 0.053333, "c": 0.053333, "d": 0.5}
+
+
+def test_decision_ladder(spark):
+    of = lambda *s: release.decide(spark.createDataFrame([(x,) for x in s], "status string")).first()["decision"]
+    assert (of("PASS"), of("PASS", "HOLD"), of("HOLD", "FAIL"), of("FAIL", "BLOCK"), of()) == ("PASS", "HOLD", "FAIL", "BLOCK", "BLOCK")
+    assert release.adjusted_confidence(0.95, 0.05, 10) == 0.995 and release.enough_resamples(10_000, 0.995) and not release.enough_resamples(1000, 0.995)
+    assert release.execution(100, 3, 0.05) == ("PASS", 0.03) and release.execution(None, 3, 0.05)[0] == "BLOCK"
+
+
+def test_graph_rules():
+    raw = [{"id": "a"}, {"id": "b"}, {"id": "f", "fuse": "rrf", "inputs": ["a", "b"]}, {"id": "g", "type": "GATE", "inputs": ["f"]}, {"id": "r", "type": "RERANK", "inputs": ["g"]}]
+    nodes = graph.parse(raw)
+    assert [n.type for n in nodes] == ["SOURCE", "SOURCE", "FUSE", "GATE", "RERANK"] and graph.sinks(nodes) == ["r"]
+    assert graph.layout(nodes) == {"a": (0, "a"), "b": (0, "b"), "f": (1, None), "g": (2, None), "r": (3, None)}
+    for bad in ([{"id": "a", "type": "FUSE", "inputs": ["a"]}], [{"id": "x", "inputs": ["y"]}], [{"id": "x", "inputs": ["z"]}, {"id": "z", "inputs": ["x"]}], [{"id": "a"}, {"id": "a"}]):
+        with pytest.raises(graph.GraphError):
+            graph.parse(bad)
+    assert list(graph.ablations(["s", "r"])) == ["s", "r", "s__r"] and graph.invocation_ids(["a", "b", "a"]) == ["a", "b", "a#2"]
+
+
+def test_graph_run(spark):
+    nodes = graph.parse([{"id": "a", "params": {"ids": ["x", "y"]}}, {"id": "b", "params": {"ids": ["y", "z"]}}, {"id": "f", "fuse": "rrf", "inputs": ["a", "b"]}])
+    registry = {"SOURCE": lambda ins, p: lists(spark, *p["ids"]).withColumn("score", F.lit(1.0)), "FUSE": lambda ins, p: R.fuse(ins)}
+    assert [r["doc_id"] for r in graph.run(nodes, registry)["f"].orderBy("rank").collect()] == ["y", "x", "z"]
+
+
+def test_qrels_shapes(spark, tmp_path):
+    (tmp_path / "t").write_text("q1 0 d1 2\nq1 d2 1\nshort line\n\n".replace("short line", "short"))
+    (tmp_path / "j").write_text('{"query_id":"q2","doc_id":"d1"}\n{"query_id":"q2","doc_id":"d2","grade":3}\n{"query_id":"q3","relevant_doc_ids":["a","b"]}\n{"query_id":"q4","relevant_doc_ids":{"a":2}}\n')
+    get = lambda p: sorted(map(tuple, files.qrels(spark, str(p)).collect()))
+    assert get(tmp_path / "t") == [("q1", "d1", 2), ("q1", "d2", 1)]
+    assert get(tmp_path / "j") == [("q2", "d1", 1), ("q2", "d2", 3), ("q3", "a", 1), ("q3", "b", 1), ("q4", "a", 2)]
+    (tmp_path / "bad").write_text("q1 0 d1 2\nq1 0 d1 1\n")
+    with pytest.raises(Exception, match="contradicting"):
+        get(tmp_path / "bad")
+
+
+def test_json_records(spark, tmp_path):
+    for name, text in {"array": '[{"id":"a"},\n{"id":"b"}]', "lines": '{"id":"a"}\n{"id":"b"}\n', "one": '{"id":\n"a"}'}.items():
+        (tmp_path / name).write_text(text)
+        assert sorted(r["id"] for r in files.json_records(spark, str(tmp_path / name), "id string").collect()) == (["a"] if name == "one" else ["a", "b"])
+
+
+def test_store(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, branch string, v int")
+    got = store.append_new(rows(("a", None, 1)), rows(("a", None, 2), ("a", "x", 3), ("a", "x", 4)), ["k", "branch"])
+    assert got.count() == 2 and got.where("branch is null").first()["v"] == 1
+    page = store.keyset_page(rows(("a", "1", 1), ("b", "1", 2), ("b", "2", 3), ("c", "1", 4)), {"k": "b", "branch": "1"}, 1).collect()
+    assert [r["v"] for r in page] == [3, 4]
+
+
+def test_stream_replay_is_idempotent(spark, tmp_path):
+    src = spark.range(100).select((F.col("id") % 90).alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit("OK").alias("status"), F.lit(1.0).alias("latency_ms"))
+    src.repartition(4).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        s = ingest.once(ingest.read(spark, f"{tmp_path}/in", src.schema, 2), ["event_id"], "ts", "1 hour")
+        ingest.sink(s, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 90
+    share = ingest.sampled(spark.range(10_000).select(F.col("id").cast("string").alias("t")), "t", 0.25).count()
+    assert 2_200 < share < 2_800
