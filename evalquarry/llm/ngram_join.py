@@ -239,19 +239,28 @@ def paired(rule: Rule, tok: np.ndarray, pos: np.ndarray, f1: np.ndarray, n: np.n
 
 def meet(packed: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     """Rows (a, b): pairs of classes, by f1; rows (tok, a, n, pos) without b: entries of
-    shingles with many classes, for `frequent`; and rows (a, n, pos) without tok and b: pos of
-    the first shingles of class a, of n, are shared with other classes."""
-    names = ["tok", "a", "b", "n", "pos"]
+    shingles with many classes, for `frequent`; and rows (g, counts): packed triples of a
+    class, its size and how many of its first shingles here are shared with other classes,
+    for `supported`, dealt out by class."""
+    names = ["tok", "a", "b", "n", "pos", "g", "counts"]
 
     def out(tok, a, b, n, pos):
         none = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x)
         for lo in range(0, len(a), 1 << 16):
             cut = lambda x: none(x).slice(lo, 1 << 16)
-            yield pa.RecordBatch.from_arrays([cut(x) for x in (tok, a, b, n, pos)], names=names)
+            m = len(cut(a))
+            yield pa.RecordBatch.from_arrays([*(cut(x) for x in (tok, a, b, n, pos)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
 
     def counted(f1, n):
-        each, times = np.unique(np.stack([f1, n], 1), axis=0, return_counts=True) if len(f1) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        return each[:, 0].copy(), None, each[:, 1].copy(), times
+        if not len(f1):
+            return
+        each, times = np.unique(np.stack([f1, n], 1), axis=0, return_counts=True)
+        g = (tokens.mix(each[:, 0].copy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        rows = np.column_stack([each, times])[np.argsort(g, kind="stable")]
+        groups, first = np.unique(np.sort(g), return_index=True)
+        blobs = [x.tobytes() for x in np.split(rows, first[1:])]
+        none = pa.nulls(len(groups), pa.int64())
+        yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(groups, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -259,7 +268,7 @@ def meet(packed: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             for _, *row, hot in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if hot:
                     tok, pos, f1, n = _unpack([row])
-                    yield from out(None, *counted(f1, n))
+                    yield from counted(f1, n)
                     inner = pos < rule.prefix(n)
                     yield from out(tok[inner].view(np.int64), f1[inner], None, n[inner], pos[inner])
                 else:
@@ -268,11 +277,29 @@ def meet(packed: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             tok, pos, f1, n = _unpack(held)
             held.clear()
             a, b, big, shared = paired(rule, tok, pos, f1, n)
-            yield from out(None, *counted(f1[shared], n[shared]))
+            yield from counted(f1[shared], n[shared])
             yield from out(None, a, b, None, None)
             yield from out(tok[big].view(np.int64), f1[big], None, n[big], pos[big])
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "tok bigint, a bigint, b bigint, n bigint, pos bigint")
+    return packed.repartition(buckets, "bucket").mapInArrow(run, "tok bigint, a bigint, b bigint, n bigint, pos bigint, g int, counts binary")
+
+
+def supported(counts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+    """f1 and n of the classes that share enough of their first shingles with others to have
+    a partner. counts: g, counts of `meet`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for batch in batches for x in batch.column(1)]
+        if not rows:
+            return
+        rows = np.concatenate(rows)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
+        total, f1, n = np.add.reduceat(rows[:, 2], first), rows[first, 0], rows[first, 1]
+        ok = total >= rule.needed(n)
+        yield pa.RecordBatch.from_arrays([pa.array(f1[ok]), pa.array(n[ok])], names=["f1", "n"])
+
+    return counts.select("g", "counts").repartition(buckets, "g").mapInArrow(run, "f1 bigint, n bigint")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -456,8 +483,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     met = common.stash(meet(entries(docs, rule, sketch, buckets, hot_from), rule, buckets))
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null")
     # only classes that share enough with others can have a partner
-    alive = met.where("tok is null and b is null").groupBy(F.col("a").alias("f1"), "n").agg(F.sum("pos").alias("shared"))
-    alive = alive.where(F.col("shared") >= 1 + F.floor(F.ceil(rule.num * F.col("n") / rule.den - 1e-9) / 20))
+    alive = supported(met.where("g is not null"), rule, buckets)
     wanted = common.stash(classes.join(alive, ["f1", "n"]).select("f1", "rep").distinct())
     sets = common.stash(sets_of(docs, wanted, rule))  # the one copy of what verify reads in each round
     name = wanted.select("f1", "rep")
