@@ -55,18 +55,20 @@ def finals(spans: DataFrame) -> DataFrame:
     return tagged.where(F.when(F.col("some"), F.col("declared")).otherwise(F.col("is_parent").isNull())).select("run_id", "op_id")
 
 
-def ancestors(spans: DataFrame, depth: int = 16) -> DataFrame:
-    """Operators on a path to a final one. The graph has tens of nodes per run; each step
-    of the loop is one level, up to the depth or the first without a new node."""
-    edges = links(spans)
-    seen = finals(spans)
-    front = seen
-    for _ in range(depth):
-        front = front.join(edges, ["run_id", "op_id"]).select("run_id", F.col("parent").alias("op_id")).distinct().join(seen, ["run_id", "op_id"], "left_anti")
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen
+def ancestors(spans: DataFrame) -> DataFrame:
+    """Operators on a path to a final one. The operator graphs, tens of nodes per run, come
+    to the driver; the evidence doesn't."""
+    up: dict[tuple[str, str], list[str]] = {}
+    for r in links(spans).collect():
+        up.setdefault((r["run_id"], r["op_id"]), []).append(r["parent"])
+    todo = [(r["run_id"], r["op_id"]) for r in finals(spans).collect()]
+    seen = set()
+    while todo:
+        node = todo.pop()
+        if node not in seen:
+            seen.add(node)
+            todo += [(node[0], p) for p in up.get(node, ())]
+    return spans.sparkSession.createDataFrame(sorted(seen), spans.select("run_id", "op_id").schema)
 
 
 def journeys(cands: DataFrame, spans: DataFrame, qrels: DataFrame, k: int, threshold: int = 1) -> DataFrame:
