@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 SPACES = r"[ \t\n\x0B\f\r]+"
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _shipped: set[str] = set()
 

@@ -42,7 +42,7 @@ from evalquarry.llm import bitmaps, common, tokens
 from evalquarry.llm.components import components
 
 CELLS, SLICES = 1 << 20, 64
-BUCKET = 600_000  # prefix entries in a bucket, on average
+BUCKET = 300_000  # prefix entries in a bucket, on average
 ALL_PAIRS = 6  # classes of one shingle that are paired directly
 OUTSIDERS = 32
 GUESSES, GUESS_FROM = 2, 4
@@ -98,19 +98,19 @@ def scan(docs: DataFrame, rule: Rule) -> DataFrame:
     """Rows (doc_id, n, f1, f2) of all documents and rows (slice, counts) of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, names = np.zeros(CELLS, np.int64), ["doc_id", "n", "f1", "f2", "slice", "counts"]
+        sketch, names = np.zeros(CELLS, np.int32), ["doc_id", "n", "f1", "f2", "slice", "counts"]
         for batch in batches:
             n, f1, f2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for lo, h, bounds in shingle_sets(batch.column(1), rule.k):
                 hi = lo + len(bounds) - 1
                 n[lo:hi] = np.diff(bounds)
                 f1[lo:hi], f2[lo:hi] = fingerprints(h, bounds)
-                sketch += np.bincount(_cells(h), minlength=CELLS)
+                np.add.at(sketch, _cells(h), 1)
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if sketch.any():
             none = pa.nulls(SLICES, pa.int64())
-            parts = [x.astype(np.int32).tobytes() for x in np.minimum(sketch, 2**31 - 1).reshape(SLICES, -1)]
+            parts = [x.tobytes() for x in sketch.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, slice int, counts binary")
