@@ -8,6 +8,13 @@ compared with it. Before that, a piece must hold one of the anchor words: any pi
 reaches t against a template shares a fixed share of its bigrams, so it has one of the
 template's rarest third, and with it that bigram's rarer word; this loses nothing.
 
+A template that spans several lines or paragraphs is met by windows: runs of lines of any
+length that reach t. Of overlapping windows of one template, and of windows of similar size
+that share over half the lines of the shorter, the one with the highest coefficient is
+reported, unless it is a line, a paragraph or the whole. Only texts with enough of a template's bigrams are
+searched, and of windows only those that lose shared bigrams without their first or last
+line; any other has a shorter one inside that scores no less.
+
 All of it is column expressions in one pass: no shuffle, no join, no Python on executors.
 
 Defined results: null and empty texts have no piece and no row. Each row of the input is
@@ -18,6 +25,8 @@ template that is first by name wins.
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,9 +102,56 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*df.columns, F.explode(F.array(value)).alias(name))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _windows(plain: DataFrame, known: list[dict], threshold: float) -> DataFrame:
+    """The windows of texts with norm and lines, in the columns of scan()."""
+    share = threshold / (2 - threshold)
+    known = [t | {"least": math.ceil(share * t["n"] - 1e-9)} for t in known]
+    table = F.from_json(F.lit(json.dumps(known)), "array<struct<license:string,grams:array<string>,n:int,least:int>>")
+    every = F.array(*(F.lit(g) for g in sorted({g for t in known for g in t["grams"]})))
+    met = _once(plain, "words", F.filter(F.split("norm", "[ \n]+", -1), lambda w: w != ""))
+    met = _once(met.where(F.size("words") > 1), "met", F.array_intersect(_bigrams(F.col("words")), every)).drop("words")
+    asked = F.filter(table, lambda t: (F.size("met") >= t["least"]) & (F.size(F.array_intersect("met", t["grams"])) >= t["least"]))
+    met = _once(met.where(F.size("met") > 0), "asked", asked).where(F.size("asked") > 0).drop("met")
+    in_line = lambda t, i: F.transform(F.filter(F.split(t, " +", -1), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("i")))
+    met = _once(met, "placed", F.flatten(F.transform("lines", in_line)))
+    at = lambda i: F.element_at("placed", i)
+    pair = lambda i: F.struct(F.concat_ws(" ", at(i)["w"], at(i + 1)["w"]).alias("g"), at(i)["i"].alias("a"), at(i + 1)["i"].alias("b"))
+    met = _once(met, "pairs", F.transform(F.sequence(F.lit(1), F.size("placed") - 1), pair)).drop("placed")
+    distinct = lambda pairs, a, b: F.size(F.array_distinct(F.transform(F.filter(pairs, lambda p: (p["a"] >= a) & (p["b"] <= b)), lambda p: p["g"])))
+
+    def of_template(t: Column) -> Column:
+        def of_hits(hits: Column) -> Column:
+            spans = lambda a: F.transform(F.filter(F.array_distinct(F.transform(hits, lambda h: h["b"])), lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b"), distinct(hits, a, b).alias("m")))
+            enough = F.filter(F.flatten(F.transform(F.array_distinct(F.transform(hits, lambda h: h["a"])), spans)), lambda w: w["m"] >= t["least"])
+            tight = F.filter(enough, lambda w: (distinct(hits, w["a"] + 1, w["b"]) < w["m"]) & (distinct(hits, w["a"], w["b"] - 1) < w["m"]))
+            sized = F.transform(tight, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["m"].alias("m"), distinct(F.col("pairs"), w["a"], w["b"]).alias("n")))
+            dice = lambda w: F.round(2.0 * w["m"] / (w["n"] + t["n"]), 6)
+            return F.transform(sized, lambda w: F.struct((-dice(w)).alias("d"), t["license"].alias("license"), w["a"].alias("a"), w["b"].alias("b"), w["n"].alias("n")))
+
+        return _let(F.filter("pairs", lambda p: F.array_contains(t["grams"], p["g"])), of_hits)
+
+    reached = F.array_sort(F.filter(F.flatten(F.transform("asked", of_template)), lambda w: w["d"] <= -threshold))
+    met = _once(met, "reached", reached).where(F.size("reached") > 0)
+    common = lambda v, w: F.least(v["b"], w["b"]) - F.greatest(v["a"], w["a"]) + 1
+    length = lambda v: v["b"] - v["a"] + 1
+    beaten = lambda v, w: (common(v, w) > 0) & ((v["license"] == w["license"]) | ((2 * common(v, w) > F.least(length(v), length(w))) & (2 * F.least(v["n"], w["n"]) > F.greatest(v["n"], w["n"]))))
+    none = F.filter("reached", lambda w: F.lit(False))
+    kept = F.aggregate("reached", none, lambda acc, w: F.when(F.exists(acc, lambda v: beaten(v, w)), acc).otherwise(F.concat(acc, F.array(w))))
+    blank = lambda i: (i < 0) | (i >= F.size("lines")) | (F.trim(F.get("lines", i)) == "")
+    inner = lambda w: F.exists(F.slice("lines", w["a"] + 1, length(w)), lambda x: F.trim(x) == "")
+    outer = lambda w: F.exists(F.slice("lines", 1, w["a"]), lambda x: F.trim(x) != "") | F.exists(F.slice("lines", w["b"] + 2, F.size("lines")), lambda x: F.trim(x) != "")
+    other = lambda w: (w["a"] < w["b"]) & outer(w) & (inner(w) | ~blank(w["a"] - 1) | ~blank(w["b"] + 1))
+    found = met.select("doc_id", F.explode(F.filter(kept, other)).alias("w"))
+    return found.select("doc_id", F.lit("window").alias("piece"), F.col("w.a").cast("bigint").alias("first_line"), F.col("w.n").cast("bigint").alias("n_bigrams"), F.col("w.license").alias("license"), (-F.col("w.d")).alias("dice"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, piece ('line', 'paragraph' or 'text'), first_line (its number, from 0),
-    n_bigrams, license, dice of every piece that reaches the threshold."""
+    """doc_id, piece ('line', 'paragraph', 'text' or 'window'), first_line (its number, from 0),
+    n_bigrams, license, dice of every piece that reaches the threshold and of the best windows."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = [{"license": k, "grams": bigrams_of(v), "n": len(bigrams_of(v))} for k, v in sorted(templates.items())]
     least, most = min(t["n"] for t in known) * low, max(t["n"] for t in known) * high
@@ -104,6 +160,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     plain = _once(docs.select("doc_id", F.col("text").cast("string").alias("text")), "norm", F.regexp_replace(F.lower("text"), _KEPT, " ")).drop("text")
     plain = plain.where(F.arrays_overlap(F.split("norm", "[ \n]+", -1), words))
     plain = _once(plain, "lines", F.split("norm", "\n", -1))
+    windows = _windows(plain.where(F.size("lines") > 1), known, threshold)
     kind = "array<struct<piece:string,first_line:bigint,text:string>>"
     piece = lambda name, at, text: F.struct(F.lit(name).alias("piece"), at.cast("bigint").alias("first_line"), text.alias("text"))
     filled = lambda i: F.trim(F.element_at("lines", i + 1)) != ""
@@ -122,7 +179,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     dice = lambda t: F.round(2.0 * F.size(F.array_intersect("grams", t["grams"])) / (n + t["n"]), 6)
     best = F.array_min(F.transform(near, lambda t: F.struct((-dice(t)).alias("d"), t["license"].alias("license"))))
     found = _once(pieces.where(n.between(least, most)), "best", best)
-    return found.where(F.col("best.d") <= -threshold).select("doc_id", "piece", "first_line", F.size("grams").cast("bigint").alias("n_bigrams"), F.col("best.license").alias("license"), (-F.col("best.d")).alias("dice"))
+    found = found.where(F.col("best.d") <= -threshold).select("doc_id", "piece", "first_line", F.size("grams").cast("bigint").alias("n_bigrams"), F.col("best.license").alias("license"), (-F.col("best.d")).alias("dice"))
+    return found.unionAll(windows)
 
 
 def duckdb_sql(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:

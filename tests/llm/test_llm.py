@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,30 @@ def test_licences(spark):
     assert not [g for g in got if g[0] == 13]
 
 
+def test_licences_over_lines_and_paragraphs(spark, prose):
+    starts = {
+        "mit": ["The above copyright", "THE SOFTWARE IS"], "bsd-2-clause": ["1. Redis", "2. Redis", "THIS SOFTWARE IS"],
+        "bsd-3-clause": ["1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE IS"], "apache-2.0/notice": ["You may obtain", "Unless required", "See the License"],
+        "gpl-3.0/notice": ["This program is distributed", "You should have"],
+    }
+    texts, want = [], set()
+    for name, marks in starts.items():
+        laid = licenses.TEMPLATES[name]
+        for m in marks:
+            laid = laid.replace(f" {m}", f"\n\n{m}", 1)
+        wrapped = textwrap.fill(licenses.TEMPLATES[name], 72)
+        for at, text in ((2, f"{prose(150)}\n\n{laid}\n\n{prose(150)}"), (1, f"{prose(150)}\n{wrapped}\n{prose(150)}")):
+            texts.append(text)
+            want.add((len(texts), at, name, 1.0))
+    twice = textwrap.fill(licenses.TEMPLATES["mit"], 60)
+    texts += [f"{prose(20)}\n\n{twice}\n{twice}\n{prose(20)}", twice, f"{prose(30)}\n\n{twice}\n\n{prose(30)}"]
+    want |= {(11, 2, "mit", 1.0), (11, 2 + len(twice.split("\n")), "mit", 1.0)}
+    rows = licenses.scan(frame(spark, texts)).where("piece = 'window'").collect()
+    got = {(r["doc_id"], r["first_line"], r["license"], r["dice"]) for r in rows}
+    assert {g for g in got if g[3] == 1.0} == want and len(got) == len(rows)
+    assert {g[2] for g in got - want} <= {"agpl-3.0/notice"}
+
+
 def test_mixing(spark, prose):
     texts = [*ODD, *(prose(random.Random(i).randint(1, 200)) for i in range(120))]
     docs = frame(spark, texts)
