@@ -25,8 +25,8 @@ template that is first by name wins.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,15 +78,23 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
+def _share(threshold: float) -> tuple[int, int]:
+    """t / (2 - t) as a fraction of whole numbers: bounds in floating point lose the pieces
+    that lie on them."""
+    t = Fraction(str(threshold))
+    return (t / (2 - t)).as_integer_ratio()
+
+
 def anchors(templates: dict[str, str], threshold: float) -> list[str]:
     """Words of which any piece that reaches the threshold has one."""
     rarity = lambda w: FREQUENT.index(w) if w in FREQUENT else len(FREQUENT)
     out = set()
     for text in templates.values():
         pairs = [tuple(b.split(" ")) for b in bigrams_of(text)]
-        least = -(-threshold * len(pairs) // (2 - threshold))
+        num, rest = _share(threshold)
+        least = -(-num * len(pairs) // rest)
         pairs.sort(key=lambda p: (-max(map(rarity, p)), p))
-        out |= {max(p, key=lambda w: (rarity(w), w)) for p in pairs[: len(pairs) - int(least) + 1]}
+        out |= {max(p, key=lambda w: (rarity(w), w)) for p in pairs[: len(pairs) - least + 1]}
     return sorted(out)
 
 
@@ -108,8 +116,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _windows(plain: DataFrame, known: list[dict], threshold: float) -> DataFrame:
     """The windows of texts with norm and lines, in the columns of scan()."""
-    share = threshold / (2 - threshold)
-    known = [t | {"least": math.ceil(share * t["n"] - 1e-9)} for t in known]
+    num, rest = _share(threshold)
+    known = [t | {"least": -(-num * t["n"] // rest)} for t in known]
     table = F.from_json(F.lit(json.dumps(known)), "array<struct<license:string,grams:array<string>,n:int,least:int>>")
     every = F.array(*(F.lit(g) for g in sorted({g for t in known for g in t["grams"]})))
     met = _once(plain, "words", F.filter(F.split("norm", "[ \n]+", -1), lambda w: w != ""))
@@ -152,9 +160,9 @@ def _windows(plain: DataFrame, known: list[dict], threshold: float) -> DataFrame
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, piece ('line', 'paragraph', 'text' or 'window'), first_line (its number, from 0),
     n_bigrams, license, dice of every piece that reaches the threshold and of the best windows."""
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    num, rest = _share(threshold)
     known = [{"license": k, "grams": bigrams_of(v), "n": len(bigrams_of(v))} for k, v in sorted(templates.items())]
-    least, most = min(t["n"] for t in known) * low, max(t["n"] for t in known) * high
+    least, most = -(-num * min(t["n"] for t in known) // rest), rest * max(t["n"] for t in known) // num
     table = F.from_json(F.lit(json.dumps(known)), "array<struct<license:string,grams:array<string>,n:int>>")
     words = F.array(*(F.lit(w) for w in anchors(templates, threshold)))
     plain = _once(docs.select("doc_id", F.col("text").cast("string").alias("text")), "norm", F.regexp_replace(F.lower("text"), _KEPT, " ")).drop("text")
@@ -175,7 +183,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     pieces = _once(pieces, "words", F.filter(F.split("text", "[ \n]+", -1), lambda w: w != "")).drop("text")
     pieces = _once(pieces.where(F.arrays_overlap("words", words) & (F.size("words") > least)), "grams", _bigrams(F.col("words"))).drop("words")
     n = F.size("grams")
-    near = F.filter(table, lambda t: (n >= low * t["n"]) & (n <= high * t["n"]))
+    near = F.filter(table, lambda t: (n * rest >= t["n"] * num) & (n * num <= t["n"] * rest))
     dice = lambda t: F.round(2.0 * F.size(F.array_intersect("grams", t["grams"])) / (n + t["n"]), 6)
     best = F.array_min(F.transform(near, lambda t: F.struct((-dice(t)).alias("d"), t["license"].alias("license"))))
     found = _once(pieces.where(n.between(least, most)), "best", best)

@@ -209,6 +209,21 @@ def test_licences_over_lines_and_paragraphs(spark, prose):
     assert {g[2] for g in got - want} <= {"agpl-3.0/notice"}
 
 
+def test_licences_at_exactly_the_threshold(spark):
+    texts = ["2024. All rights reserved."]
+    for text in licenses.TEMPLATES.values():
+        n, words = len(licenses.bigrams_of(text)), licenses.words_of(text)
+        if n % 2 == 0:
+            texts.append(" ".join([*words, *(f"unlike{k}" for k in range(n // 2))]))
+        parts = [" ".join(words[:k]) for k in range(len(words))]
+        texts += [p for p in parts if 3 * len(licenses.bigrams_of(p)) == 2 * n][:1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = licenses.scan(docs).where("piece = 'line'").collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(texts))) and min(r["dice"] for r in rows) == 0.8
+    for t in (3, 9, 15, 18, 21):
+        assert len(licenses.anchors({"x": " ".join(f"w{k}" for k in range(t + 1))}, 0.8)) == t - 2 * t // 3 + 1
+
+
 def test_mixing(spark, prose):
     texts = [*ODD, *(prose(random.Random(i).randint(1, 200)) for i in range(120))]
     docs = frame(spark, texts)
