@@ -89,8 +89,7 @@ def P07_guard_intervals(ev: Evidence) -> DataFrame:
 
 @on("M")
 def P03_sign_flip_test(ev: Evidence) -> DataFrame:
-    pairs = C.paired(*_runs(ev)).where("stage_index = 7")
-    return C.resampled(pairs, KEY, resamples=200)
+    return C.resampled(C.paired(*_runs(ev)), KEY)
 
 
 @on("M", f"""{_PAIRS} SELECT pipeline_id, stage_index, query_id, place, round(delta, 6) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_id, stage_index ORDER BY delta, query_id) AS place FROM pr WHERE delta < 0) WHERE place <= 20""")

@@ -151,8 +151,8 @@ def F21_effect_threshold(ev: Evidence) -> DataFrame:
 
 @on("M")
 def P02_bootstrap_ci(ev: Evidence) -> DataFrame:
-    pairs = C.paired(C.of_run(ev("metrics"), "base"), C.of_run(ev("metrics"), "cand")).where("stage_index = 7")
-    return C.resampled(pairs, C.KEY, resamples=100).select(*C.KEY, "effect", "low", "high")
+    pairs = C.paired(C.of_run(ev("metrics"), "base"), C.of_run(ev("metrics"), "cand"))
+    return C.resampled(pairs, C.KEY).select(*C.KEY, "effect", "low", "high")
 
 
 @on("M", "SELECT DISTINCT pipeline_id, stage_index, dense_rank() OVER (ORDER BY stage_index DESC, pipeline_id) AS tier FROM (SELECT DISTINCT pipeline_id, stage_index FROM metrics)")

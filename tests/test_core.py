@@ -2,16 +2,20 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import evalquarry.catalog  # noqa: F401
+from evalquarry.bindings import Evidence
 from evalquarry.functions import scalar as X
 from evalquarry.operators import comparison as C
 from evalquarry.operators import release
 from evalquarry.operators import retrieval as R
 from evalquarry.operators import scoring as S
 from evalquarry.plans import graph
+from evalquarry.registry import QUERIES
 from evalquarry.sources import files, store
 from evalquarry.streaming import ingest
 
@@ -84,6 +88,34 @@ def test_sign_flip_against_enumeration():
     assert abs(C.sign_flip_p(before, after, 4000) - exact) < 0.02
 
 
+def test_sign_flip_draws_are_those_of_choice():
+    r = random.Random(5)
+    for n, draws in ((1, 50), (2, 300), (37, 400), (1000, 1200), (400_000, 3)):
+        before, after = [round(r.random() * 0.1, 2) for _ in range(n)], [round(r.random() * 0.1, 2) for _ in range(n)]
+        seen, sign = abs(sum(before) / n - sum(after) / n), random.Random(42).choice
+        deltas = [b - a for b, a in zip(before, after, strict=True)]
+        extreme = sum(abs(sum([d * sign((-1.0, 1.0)) for d in deltas]) / n) >= seen for _ in range(draws))
+        assert C.sign_flip_p(before, after, draws) == (extreme + 1) / (draws + 1)
+
+
+@pytest.mark.parametrize("name", ["P02_bootstrap_ci", "P03_sign_flip_test"])
+def test_resampling_covers_all_stages(spark, name):
+    folder = "/root/testdata/sf0.001"
+    m = Evidence(spark, folder, "M")("metrics")
+    pairs = C.paired(C.of_run(m, "base"), C.of_run(m, "cand"))
+    want = {(r["pipeline_id"], r["stage_index"]): r for r in pairs.groupBy("pipeline_id", "stage_index").agg(F.avg("delta").alias("effect")).collect()}
+    rows = QUERIES[name](spark, folder).collect()
+    assert {k[1] for k in want} == set(range(1, 8)) and len(rows) == len(want)
+    key = ("R", 3)
+    g = pairs.where("pipeline_id = 'R' AND stage_index = 3").orderBy("query_id").toPandas()
+    before, after = g["before"].tolist(), g["after"].tolist()
+    for r in rows:
+        assert math.isclose(r["effect"], want[r["pipeline_id"], r["stage_index"]]["effect"], abs_tol=1e-9)
+        if (r["pipeline_id"], r["stage_index"]) == key:
+            assert (r["effect"], r["low"], r["high"]) == C.effect_ci(before, after, 1000)
+            assert "p_value" not in r or r["p_value"] == C.sign_flip_p(before, after, 1000)
+
+
 def test_bootstrap_intervals():
     assert C.bootstrap_ci([]) == (0.0, 0.0) and C.bootstrap_ci([0.5] * 4) == (0.5, 0.5)
     low, high = C.bootstrap_ci([0.0, 1.0] * 20)
