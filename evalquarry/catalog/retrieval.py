@@ -46,7 +46,8 @@ SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY q
 
 @on("L", _BM25)
 def R02_bm25(ev: Evidence) -> DataFrame:
-    return R.bm25(ev("l_qtok").select(F.col("item_id").alias("query_id"), "w"), ev("l_tok"), top_k=10)
+    words = ev("l_q").select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower("text"), r"[ \t\n\r]+")).alias("w"))
+    return R.bm25(words.where("w <> ''"), ev("l_tok"), top_k=10)
 
 
 @on("V", "SELECT concat('q', qid) AS query_id, concat('d', did) AS doc_id, score, rank FROM v_fuse WHERE run_id = 'A'")

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from evalquarry.operators import release
 from evalquarry.operators import retrieval as R
 from evalquarry.operators import scoring as S
 from evalquarry.plans import graph
-from evalquarry.registry import QUERIES
+from evalquarry.registry import ORACLE_SQL, QUERIES
 from evalquarry.sources import files, store
 from evalquarry.streaming import ingest
 
@@ -59,6 +60,17 @@ def test_bm25_finds_only_what_matches(spark):
     assert [(r["doc_id"], r["rank"]) for r in got] == [("hit1", 1), ("hit2", 2)]
 
 
+def test_bm25_query_has_every_word_of_an_item(spark):
+    c, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("benchmark", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = c.execute(ORACLE_SQL["R02_bm25"].replace(" WHERE k <= 12", "")).fetchall()
+    got = [(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in QUERIES["R02_bm25"](spark, folder).collect()]
+    at = {(q, k): (d, s) for q, d, s, k in got}
+    assert len(got) == len(want) == len(at)
+    assert all(at[q, k][0] == d and math.isclose(at[q, k][1], s, abs_tol=2e-6) for q, d, s, k in want)
+
+
 def test_dense_in_blocks_equals_broadcast(spark, monkeypatch):
     e = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id bigint, embedding array<float>")
     q, d = e.where("id % 4 = 0").select(F.col("id").alias("query_id"), "embedding"), e.select(F.col("id").alias("doc_id"), "embedding")
