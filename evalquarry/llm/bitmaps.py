@@ -43,7 +43,7 @@ def bitmap(ids: DataFrame, log_bits: int = LOG_BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=names)
 
     out = np.zeros((SLICES, (1 << log_bits) // 8 // SLICES), np.uint8)
-    for row in ids.mapInArrow(run, schema).repartition(SLICES, "slice").mapInArrow(either, schema).collect():
+    for row in common.in_arrow(common.in_arrow(ids, run, schema).repartition(SLICES, "slice"), either, schema).collect():
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
