@@ -36,11 +36,13 @@ def _settled(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """links: two id columns. Returns node and component (the least node it reaches) for
     every node but the least ones, which are their own component. Links with a null end
-    and links of a node to itself say nothing."""
+    and links of a node to itself say nothing. The result is a table that common.discard deletes."""
     a, b = links.columns
     known = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    edges = common.stash(links.where(known).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), 1)
+    edges = common.stash(links.where(known).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while not _settled(edges):
-        before, edges = edges, common.stash(_star(_star(edges, True), False).distinct(), 1)
+        before, edges = edges, common.stash(_star(_star(edges, True), False).distinct())
         common.discard(before)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.stash_path = edges.stash_path
+    return out

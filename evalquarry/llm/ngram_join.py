@@ -23,14 +23,18 @@ their Jaccard similarity is at least num/den. The way there:
 5. `components` follows the links.
 
 Defined results: a null or empty text has no shingles and links with nothing. A text
-with fewer than k words is one shingle. Rows that share a doc_id are one node. A row
-with a null doc_id links with nothing and has component_id null.
+with fewer than k words is one shingle; a very long text is hashed in pieces and is one set.
+Rows that share a doc_id are one node with the links of all of them. A row with a null
+doc_id links with nothing and has component_id null. Ties: of equal sets the least doc_id stands for the class. doc_id is a
+whole number (it is read as bigint). Columns beyond doc_id and text are never read, so their
+names can't clash. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +47,12 @@ from evalquarry.llm.components import components
 
 CELLS, SLICES = 1 << 20, 64
 BUCKET = 300_000  # prefix entries in a bucket, on average
+REDUCERS = 20_000  # partitions at most; with more buckets, a partition has several
+EMIT = 1 << 18  # entries that a task gathers before it deals them out to buckets
 ALL_PAIRS = 6  # classes of one shingle that are paired directly
 OUTSIDERS = 32
 GUESSES, GUESS_FROM = 2, 4
-ASKED_SHINGLES, ASKED_BLOCKS = 2_000_000, 8
+ASKED_SHINGLES, ASKED_BLOCKS = 1_000_000, 16
 PIVOTS = 64
 
 
@@ -113,7 +119,7 @@ def scan(docs: DataFrame, rule: Rule) -> DataFrame:
             parts = [x.tobytes() for x in sketch.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, slice int, counts binary")
+    return common.in_arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, slice int, counts binary")
 
 
 def summed(slices: DataFrame) -> np.ndarray:
@@ -128,7 +134,7 @@ def summed(slices: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros((SLICES, CELLS // SLICES), np.int32)
-    for row in slices.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():
+    for row in common.in_arrow(slices.select("slice", "counts").repartition(SLICES, "slice"), run, "slice int, counts binary").collect():
         out[row["slice"]] = np.frombuffer(row["counts"], np.int32)
     return out.reshape(-1)
 
@@ -144,53 +150,65 @@ _ENTRY = ["bucket", "tok", "pos", "f1", "n", "run", "hot"]
 _ENTRY_SCHEMA = "bucket int, tok binary, pos binary, f1 binary, n binary, run binary, hot boolean"
 
 
-def _blobs(bucket: int, hot: bool, tok: np.ndarray, pos: np.ndarray, doc: np.ndarray, f1: np.ndarray, n: np.ndarray) -> list:
+def _blobs(bucket: int, hot: bool, tok: np.ndarray, pos: np.ndarray, doc: np.ndarray, f1: np.ndarray, n: np.ndarray) -> tuple:
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     run = np.diff(np.append(first, len(doc))).astype(np.uint32)
     at = doc[first]
-    return [bucket, tok.tobytes(), np.minimum(pos, 65535).astype(np.uint16).tobytes(), f1[at].tobytes(), n[at].astype(np.int32).tobytes(), run.tobytes(), hot]
+    return bucket, tok.tobytes(), np.minimum(pos, 65535).astype(np.uint16).tobytes(), f1[at].tobytes(), n[at].astype(np.int32).tobytes(), run.tobytes(), hot
+
+
+def _dealt(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Gathered entries (tok, pos, doc, hot, f1 and n of the docs), a row for each bucket that
+    has any. Of exact copies among them one is enough."""
+    shift, at = [], 0
+    for p in parts:
+        shift.append(p[2] + at)
+        at += len(p[4])
+    tok, pos, hot = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
+    f1, n, doc = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]), np.concatenate(shift)
+    parts.clear()
+    _, first = np.unique(f1, return_index=True)
+    once = np.zeros(len(f1), bool)
+    once[first] = True
+    mine = once[doc]
+    tok, pos, doc, hot = tok[mine], pos[mine], doc[mine], hot[mine]
+    b = (tokens.mix(tok) % np.uint64(buckets)).astype(np.int64)
+    rows = []
+    by = np.flatnonzero(~hot)
+    by = by[np.argsort(b[by], kind="stable")]
+    cuts = np.flatnonzero(np.concatenate(([True], b[by][1:] != b[by][:-1]))) if len(by) else by
+    for x in np.split(by, cuts[1:]) if len(by) else ():
+        rows.append(_blobs(int(b[x[0]]), False, tok[x], pos[x], doc[x], f1, n))
+    x = np.flatnonzero(hot)
+    if len(x):  # any bucket will do for these: they only pass through
+        rows.append(_blobs(int(b[x[0]]), True, tok[x], pos[x], doc[x], f1, n))
+    kinds = [pa.int32(), *[pa.binary()] * 5, pa.bool_()]
+    for lo in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 64], strict=True), kinds, strict=True)], names=_ENTRY)
 
 
 def entries(docs: DataFrame, rule: Rule, sketch, buckets: int, hot_from: int) -> DataFrame:
     """Prefix shingles of every text, packed by bucket: sketch is a broadcast variable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = sketch.value
-        for at, batch in enumerate(batches):
-            parts = []
-            f1s, ns = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for lo, h, bounds in shingle_sets(batch.column(0), rule.k):
+        count, parts, held = sketch.value, [], 0
+        for batch in batches:
+            for _, h, bounds in shingle_sets(batch.column(0), rule.k):
                 n = np.diff(bounds)
-                f1s[lo : lo + len(n)], _ = fingerprints(h, bounds)
-                ns[lo : lo + len(n)] = n
                 c = count[_cells(h)]
                 order = rare_first(h, bounds, c)
                 pos = np.arange(len(h)) - np.repeat(bounds[:-1], n)
                 keep = pos < np.repeat(rule.prefix(n) + rule.support(n), n)
                 pick = order[keep]
-                parts.append((h[pick], pos[keep], np.repeat(np.arange(lo, lo + len(n)), n)[keep], c[pick] >= hot_from))
-            if not parts:
-                continue
-            tok, pos, doc, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
-            first = {}  # of exact copies in this batch one is enough
-            once = np.array([first.setdefault(f, i) == i for i, f in enumerate(f1s.tolist())])
-            mine = once[doc]
-            tok, pos, doc, hot = tok[mine], pos[mine], doc[mine], hot[mine]
-            rows = []
-            b = (tokens.mix(tok) % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(b + hot * np.int32(buckets), kind="stable")
-            edges = np.searchsorted((b + hot * np.int32(buckets))[by], np.arange(buckets + 1))
-            for i in range(buckets):
-                x = by[edges[i] : edges[i + 1]]
-                if len(x):
-                    rows.append(_blobs(i, False, tok[x], pos[x], doc[x], f1s, ns))
-            x = np.sort(by[edges[buckets] :])
-            if len(x):  # any bucket will do for these: they only pass through
-                rows.append(_blobs((at * 7919 + int(tok[x[0]] % np.uint64(buckets))) % buckets, True, tok[x], pos[x], doc[x], f1s, ns))
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([v]) if k not in (0, 6) else pa.array([v], pa.int32() if k == 0 else pa.bool_()) for k, v in enumerate(row)], names=_ENTRY)
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, _ENTRY_SCHEMA)
+                parts.append((h[pick], pos[keep], np.repeat(np.arange(len(n)), n)[keep], c[pick] >= hot_from, fingerprints(h, bounds)[0], n))
+                held += len(pick)
+                if held >= EMIT:
+                    yield from _dealt(parts, buckets)
+                    held = 0
+        if held:
+            yield from _dealt(parts, buckets)
+
+    return common.in_arrow(docs.select(F.col("text").cast("string")), run, _ENTRY_SCHEMA)
 
 
 def _unpack(blobs: list[tuple]) -> tuple[np.ndarray, ...]:
@@ -263,25 +281,34 @@ def meet(packed: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(groups, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list] = {}
+
+        def settle(rows: list) -> Iterator[pa.RecordBatch]:
+            tok, pos, f1, n = _unpack(rows)
+            rows.clear()
+            a, b, big, shared = paired(rule, tok, pos, f1, n)
+            yield from counted(f1[shared], n[shared])
+            yield from out(None, a, b, None, None)
+            yield from out(tok[big].view(np.int64), f1[big], None, n[big], pos[big])
+
         for batch in batches:
-            for _, *row, hot in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for bucket, *row, hot in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if hot:
                     tok, pos, f1, n = _unpack([row])
                     yield from counted(f1, n)
                     inner = pos < rule.prefix(n)
                     yield from out(tok[inner].view(np.int64), f1[inner], None, n[inner], pos[inner])
-                else:
-                    held.append(row)
-        if held:
-            tok, pos, f1, n = _unpack(held)
-            held.clear()
-            a, b, big, shared = paired(rule, tok, pos, f1, n)
-            yield from counted(f1[shared], n[shared])
-            yield from out(None, a, b, None, None)
-            yield from out(tok[big].view(np.int64), f1[big], None, n[big], pos[big])
+                    continue
+                if ordered and held and bucket not in held:
+                    yield from settle(held.popitem()[1])
+                held.setdefault(bucket, []).append(row)
+        while held:
+            yield from settle(held.popitem()[1])
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "tok bigint, a bigint, b bigint, n bigint, pos bigint, g int, counts binary")
+    ordered = buckets > REDUCERS
+    dealt = packed.repartition(min(buckets, REDUCERS), "bucket")
+    dealt = dealt.sortWithinPartitions("bucket") if ordered else dealt  # then a task holds one bucket at a time
+    return common.in_arrow(dealt, run, "tok bigint, a bigint, b bigint, n bigint, pos bigint, g int, counts binary")
 
 
 def supported(counts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
@@ -299,13 +326,13 @@ def supported(counts: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         ok = total >= rule.needed(n)
         yield pa.RecordBatch.from_arrays([pa.array(f1[ok]), pa.array(n[ok])], names=["f1", "n"])
 
-    return counts.select("g", "counts").repartition(buckets, "g").mapInArrow(run, "f1 bigint, n bigint")
+    return common.in_arrow(counts.select("g", "counts").repartition(min(buckets, REDUCERS), "g"), run, "f1 bigint, n bigint")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """rep and the sorted shingles of every document whose doc_id is a rep of wanted, and
-    of the few that the bitmap can't tell from them; joins on rep leave these out."""
-    packed = docs.sparkSession.sparkContext.broadcast(bitmaps.bitmap(wanted.select("rep")))
+def sets_of(docs: DataFrame, packed, rule: Rule) -> DataFrame:  # noqa: ANN001
+    """rep and the sorted shingles of every document whose doc_id is in the bitmap, a
+    broadcast variable. These are all classes wanted and the few that the bitmap can't tell
+    from them; joins on rep leave the latter out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +342,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 blobs = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(blobs)), pa.array(blobs, pa.binary())], names=["rep", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "rep bigint, shingles binary")
+    return common.in_arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, "rep bigint, shingles binary")
 
 
 def linked(rule: Rule, a: np.ndarray, b: np.ndarray) -> bool:
@@ -343,7 +370,7 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     side = lambda k: sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"s{k}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return full.mapInArrow(run, "a bigint, b bigint")
+    return common.in_arrow(full, run, "a bigint, b bigint")
 
 
 def _filters(rule: Rule, x: str, y: str) -> Column:
@@ -376,28 +403,39 @@ class Asked:
         return self.reps[rule.den * both >= rule.num * (len(s) + self.n - both)]
 
 
-def asked(sets: DataFrame, few: DataFrame, rule: Rule) -> Iterator[DataFrame]:
-    """Links (a, b) of the classes of few (rep) with all others, block by block of them."""
-    spark, held, size = sets.sparkSession, ([], []), 0
+def asked(sets: DataFrame, few: DataFrame, rule: Rule) -> list[DataFrame]:
+    """Tables of the links (a, b) of the classes of few (rep) with all others, one for each
+    block of them. A block is let go, here and on the executors, before the next is gathered."""
+    spark, links = sets.sparkSession, []
+    reps: list[int] = []
+    held: list[np.ndarray] = []
+    size = 0
+
+    def meet_block() -> None:
+        shared = spark.sparkContext.broadcast(Asked(reps, held))
+        reps.clear()
+        held.clear()
 
-    def meeting(shared) -> DataFrame:  # noqa: ANN001
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
                 pairs = [(y, x) for y, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in block.partners(np.frombuffer(blob.as_buffer(), np.uint64), rule).tolist() if x != y]
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        return sets.mapInArrow(run, "a bigint, b bigint")
+        links.append(common.stash(common.in_arrow(sets, run, "a bigint, b bigint")))
+        shared.destroy()
+        common.give_back()
 
     for row in sets.join(few, "rep").toLocalIterator():
-        held[0].append(row["rep"])
-        held[1].append(np.frombuffer(row["shingles"], np.uint64))
-        size += len(held[1][-1])
+        reps.append(row["rep"])
+        held.append(np.frombuffer(row["shingles"], np.uint64))
+        size += len(held[-1])
         if size >= ASKED_SHINGLES:
-            yield meeting(spark.sparkContext.broadcast(Asked(*held)))
-            held, size = ([], []), 0
-    if held[0]:
-        yield meeting(spark.sparkContext.broadcast(Asked(*held)))
+            meet_block()
+            size = 0
+    if reps:
+        meet_block()
+    return links
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:
@@ -409,9 +447,12 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 
 def _few(named: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame | None:
     """The classes outside the largest component of a shingle, if their sets are small enough."""
-    few = common.stash(named.join(open_.select("tok", "main"), "tok").where("c <> main").select("rep").distinct(), 1)
+    few = common.stash(named.join(open_.select("tok", "main"), "tok").where("c <> main").select("rep").distinct())
     size = sets.join(few, "rep").agg(F.sum(F.length("shingles"))).first()[0] or 0
-    return few if size <= 8 * ASKED_SHINGLES * ASKED_BLOCKS else None
+    if size <= 8 * ASKED_SHINGLES * ASKED_BLOCKS:
+        return few
+    common.discard(few)
+    return None
 
 
 def frequent(hot: DataFrame, first: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -425,7 +466,7 @@ def frequent(hot: DataFrame, first: DataFrame, sets: DataFrame, rule: Rule) -> D
     still outside fit into ASKED_BLOCKS blocks, these blocks are asked against all sets: overlaps are
     counted where the sets lie and no pair is emitted for each common shingle. Where they
     are more, they meet by shingles: up to OUTSIDERS classes of one shingle at once, and of
-    more a growing part leads in each round."""
+    more a growing part leads in each round. The tables of a round are deleted at its end."""
     u = (F.xxhash64("rep").cast("double") / 2.0**64 + 0.5).alias("u")
     hot = common.stash(hot.select("tok", "rep", "n", "pos", u).distinct())
     meet_ = lambda x, y: (F.col(f"{x}.rep").alias("x"), F.col(f"{y}.rep").alias("y"))
@@ -436,33 +477,44 @@ def frequent(hot: DataFrame, first: DataFrame, sets: DataFrame, rule: Rule) -> D
     limit, guesses = OUTSIDERS, 0
     while True:
         named = hot.join(label, hot["rep"] == label["node"], "left").select("tok", "rep", "n", "pos", "u", F.coalesce("component", "rep").alias("c"))
-        named = common.stash(named, 1)
+        named = common.stash(named)
         sizes = named.groupBy("tok", "c").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep", "tok", F.lit(guesses)).alias("h"), "rep", "n", "pos")).alias("l"))
         sizes = sizes.groupBy("tok").agg(F.max(F.struct("k", "c", "l")).alias("top"), F.sum("k").alias("m"))
         open_ = sizes.select("tok", F.col("top.c").alias("main"), F.col("top.l").alias("l"), (F.col("m") - F.col("top.k")).alias("outside")).where("outside > 0")
-        open_ = common.stash(open_ if done is None else open_.join(done, "tok", "left_anti"), 1)
-        biggest = open_.agg(F.max("outside")).first()[0]
-        if biggest is None:
-            return label
-        if guesses < GUESSES and biggest > GUESS_FROM:
+        open_ = common.stash(open_ if done is None else open_.join(done, "tok", "left_anti"))
+        biggest, tables = open_.agg(F.max("outside")).first()[0], [named, open_]
+        known = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        last = biggest is None
+        if last:
+            found = None
+        elif guesses < GUESSES and biggest > GUESS_FROM:
             guesses += 1
             out = named.join(open_.select("tok", "main"), "tok").where("c <> main")
             found = out.alias("x").join(open_.select("tok", "l.*").alias("y"), "tok").where(_filters(rule, "x", "y"))
-            found = found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            found = verify(found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), sets, rule)
         elif (few := _few(named, open_, sets)) is not None:
-            for found in asked(sets, few, rule):
-                label = components(found.union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-            return label
+            links = asked(sets, few, rule)
+            tables += [few, *links]
+            found, last = reduce(DataFrame.union, links, known), True
         else:
             leads = named.join(open_, "tok").where((F.col("c") != F.col("main")) & ((F.col("outside") <= limit) | (F.col("u") * F.col("outside") < limit)))
             leads = leads.select("tok", "rep", "n", "pos", "c")
             found = named.alias("x").join(leads.alias("y"), "tok").where((F.col("x.c") != F.col("y.c")) & _filters(rule, "x", "y"))
-            found = found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            found = verify(found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), sets, rule)
             closed = open_.where(F.col("outside") <= limit).select("tok")
-            done = closed if done is None else done.union(closed)
+            before, done = done, common.stash(closed if done is None else done.union(closed))
+            tables += [before] if before is not None else []
+            last = biggest <= limit
             limit *= 4
-        label = components(verify(found, sets, rule).union(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        if done is not None and biggest <= limit // 4:
+        if found is not None:
+            tables.append(label)
+            label = components(found.union(known))
+        for t in tables:
+            common.discard(t)
+        if last:
+            for t in (hot, done):
+                if t is not None:
+                    common.discard(t)
             return label
 
 
@@ -470,28 +522,32 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set) and component_id of every row."""
     spark = docs.sparkSession
     common.ship(spark)
-    scanned = common.stash(scan(docs, rule))
+    scanned = common.stash(scan(docs, rule), even=True)
     rows = scanned.where("slice is null").select("doc_id", "n", "f1", "f2")
     prefix = F.col("n") - F.ceil(rule.num * F.col("n") / rule.den - 1e-9) + 1 + F.floor(F.col("n") / 20)
     total = rows.where("n > 0").agg(F.sum(prefix), F.count("*"), F.sum("n")).first()
     if not total[1]:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    counts = summed(scanned.where("slice is not null"))
-    sketch = spark.sparkContext.broadcast(counts)
+    sketch = spark.sparkContext.broadcast(summed(scanned.where("slice is not null")))
     buckets = max(common.partitions(spark), -(-int(total[0]) // BUCKET))
     hot_from = 500 + 8 * int(total[2]) // CELLS
     met = common.stash(meet(entries(docs, rule, sketch, buckets, hot_from), rule, buckets))
+    sketch.destroy()
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null")
     # only classes that share enough with others can have a partner
     alive = supported(met.where("g is not null"), rule, buckets)
     wanted = common.stash(classes.join(alive, ["f1", "n"]).select("f1", "rep").distinct())
-    sets = common.stash(sets_of(docs, wanted, rule))  # the one copy of what verify reads in each round
+    reps = spark.sparkContext.broadcast(bitmaps.bitmap(wanted.select("rep")))
+    sets = common.stash(sets_of(docs, reps, rule))  # the one copy of what verify reads in each round
+    reps.destroy()
     name = wanted.select("f1", "rep")
     side = lambda k: name.select(F.col("f1").alias(k), F.col("rep").alias(f"r{k}"))
     pairs = met.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     hot = met.where("tok is not null").join(side("a"), "a").select("tok", F.col("ra").alias("rep"), "n", "pos")
     label = frequent(hot, pairs, sets, rule)
+    for t in (met, wanted, sets):
+        common.discard(t)
     copied = classes.where("copies > 1").select("f1", "f2", "n", "rep")
     out = rows.join(copied, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
     return (
