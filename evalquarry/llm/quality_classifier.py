@@ -10,8 +10,10 @@ per class. Scoring is a column expression on the cached factors.
 Defined results: a null, empty or blank text scores 0. A row without doc_id or with
 a null label doesn't train; a doc_id labelled more than once counts once, with the
 lower label. Without rows of both classes every other text scores 1 (nothing is
-known against it). Other columns of the input pass through untouched; the score
-columns replace columns of the same name.
+known against it). Rows that repeat a doc_id are scored each by its own text, and equal texts
+score alike; all of them train. A very long text is counted in pieces and scored as a whole. An
+empty table gives an empty table. `classify` reads doc_id and text alone and returns columns
+of its own; `keep` returns the input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalquarry.llm import common, tokens
+from evalquarry.llm import bitmaps, common, tokens
 
 FEATURES = ("word_bytes", "upper", "symbols", "exclamations", "repeats", "digits", "stops", "lines", "beyond_ascii")
-PRIOR_NEGATIVE = 0.15
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#*$%&|<>", "exclaim": b"!?", "stop": b".,;:", "newline": b"\n", "beyond": range(192, 256)}
 _NAMES = [*_CLASSES, "other"]
@@ -68,19 +69,28 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return n_words.astype(np.int64), x
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and FEATURES of each row of docs."""
+def _id_hash(doc_id: str) -> Column:
+    """Alike for ids of any whole-number type."""
+    return F.xxhash64(F.col(doc_id).cast("string"))
+
+
+def features(docs: DataFrame, packed=None) -> DataFrame:  # noqa: ANN001
+    """doc_id, n_words and FEATURES of each row of docs, or of those whose doc_id is in a
+    bitmap (a broadcast variable) and few others."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if packed is not None:
+                batch = batch.filter(pa.array(bitmaps.present(packed.value, batch.column(2).to_numpy(zero_copy_only=False))))
             if batch.num_rows:
                 n, x = text_features(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(v) for v in x.T)], names=["doc_id", "n_words", *FEATURES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, " + ", ".join(f"{f} double" for f in FEATURES)
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    some = [] if packed is None else [_id_hash("doc_id")]
+    return common.in_arrow(docs.select("doc_id", F.col("text").cast("string"), *some), run, schema)
 
 
 @dataclass(frozen=True)
@@ -128,8 +138,9 @@ def discriminant(n: dict[int, float], total: dict[int, np.ndarray], outer: dict[
     return QuadraticDiscriminant(mean, factor, logdet, {0: float(np.log(prior_negative)), 1: float(np.log(1 - prior_negative))})
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: float = 0.1, prior_negative: float = PRIOR_NEGATIVE) -> QuadraticDiscriminant | None:
-    """stats: from features(). Trains on every labelled document outside the held-out fifth."""
+def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: float = 0.1, prior_negative: float | None = None) -> QuadraticDiscriminant | None:
+    """stats: from features(). Trains on every labelled document outside the held-out fifth,
+    whose share of label 0 is the prior unless one is given."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~common.held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min(label).alias("_class"))
@@ -152,7 +163,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", shrinkage:
         for i, j in pairs:
             m[i, j] = m[j, i] = r[f"m{i}_{j}"]
         outer[c] = m
-    return discriminant(n, total, outer, shrinkage, prior_negative)
+    prior = (n[0] + 1) / (n[0] + n[1] + 2) if prior_negative is None else prior_negative
+    return discriminant(n, total, outer, shrinkage, prior)
 
 
 def score(stats: DataFrame, model: QuadraticDiscriminant | None, threshold: float = 0.3) -> DataFrame:
@@ -168,16 +180,20 @@ def score(stats: DataFrame, model: QuadraticDiscriminant | None, threshold: floa
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, n_words, FEATURES, score and predicted of each row of docs."""
-    stats = common.stash(features(docs))
+    stats = common.stash(features(docs), even=True)
     return score(stats, fit(stats, labels), threshold)
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose text the classifier accepts. The model is fitted on the
-    statistics of all labelled documents; then each text is judged where it is read,
-    so that no text is shuffled and rows that share a doc_id are judged each by its own text."""
-    model = fit(features(docs), labels)
+    statistics of all labelled documents, which a bitmap of fixed size picks out of the scan;
+    then each text is judged where it is read, so that no text is shuffled and rows that
+    share a doc_id are judged each by its own text."""
     common.ship(docs.sparkSession)
+    labelled = labels.where(F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"))).select(_id_hash("doc_id").alias("h"))
+    packed = docs.sparkSession.sparkContext.broadcast(bitmaps.bitmap(labelled))
+    model = fit(features(docs, packed), labels)
+    packed.destroy()
     cols, cut = docs.columns, threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,4 +203,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFram
                 odds = np.full(len(n), 700.0) if model is None else np.clip(model.log_odds(x), -700, 700)
                 yield batch.filter(pa.array((n > 0) & (1 / (1 + np.exp(-odds)) >= cut)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.in_arrow(docs, run, docs.schema)
