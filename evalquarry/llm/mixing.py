@@ -12,21 +12,26 @@ Rates become whole copies within (source, cell) groups of about CELL documents,
 a hash: largest documents first, each gets the copies nearest to its share plus what the
 ones before are short, between the whole numbers around its rate unless the shortfall
 exceeds its size, and never more than `most`. A group ends within about its smallest
-document of its share, however many groups a source has.
+document of its share, however many groups a source has. Rows of one doc_id and size are one
+entry of their group with a number, and share its copies evenly; so rows that repeat without
+end don't fill a group.
 
 Targets: sources by code point, null last, weigh `weights` in turn and share `total`
 times all tokens; a target stops at `most` times its source and the rest is shared again.
 
 Defined results: a null text has size 0, takes 0 and is in no constraint. Rows with a
-null doc_id take part; rows that repeat a doc_id are documents of their own.
+null doc_id take part; rows that repeat a doc_id are documents of their own. Ties in size are
+settled by a hash of doc_id and size. A very long text is one document of its size. An empty
+table gives an empty table. Only doc_id, text and source are read, so the names of other
+columns can't clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalquarry.llm import common
@@ -44,9 +49,9 @@ def sizes(docs: DataFrame) -> DataFrame:
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: int = 2) -> DataFrame:
     """by_source: source, source_size. Adds number (from 0, by code point, null last) and
     target. Each round caps the sources whose share is above `most` times their size."""
-    every = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("number") % len(weights) + 1).cast("int"))
-    out = common.stash(by_source.withColumn("number", F.row_number().over(every) - 1).withColumn("weight", w).withColumn("cap", F.lit(float(most)) * F.col("source_size")))
+    out = common.numbered(by_source, F.col("source").asc_nulls_last(), "number")
+    out = common.stash(out.withColumn("weight", w).withColumn("cap", F.lit(float(most)) * F.col("source_size")))
     goal = total * (out.agg(F.sum("source_size")).first()[0] or 0)
     level, known = None, -1
     while True:  # capped sources only grow in number, so this ends
@@ -70,8 +75,8 @@ def tilts(histogram: DataFrame, sources: DataFrame, most: int = 2) -> DataFrame:
     known = histogram.where("size > 0").groupBy("number").agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("scale"))
     open_ = sources.where((F.col("target") > 0) & (F.col("target") < F.col("source_size") * most))
     state = open_.join(known, "number").select("number", "target", "source_size", "scale", F.lit(0.0).alias("lam"), F.lit(-800.0).alias("lo"), F.lit(800.0).alias("hi"), F.lit(1.0).alias("miss"))
-    state = common.stash(state, 1)
-    rows = common.stash(histogram.where("size > 0"), 1)
+    state = common.stash(state)
+    rows = common.stash(histogram.where("size > 0"))
     for _ in range(STEPS):
         x = F.col("size") / F.col("scale")
         p = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("lam") * x))))
@@ -87,7 +92,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, most: int = 2) -> DataFrame:
             .select("number", "target", "source_size", "scale", F.when(gap == 0, F.col("lam")).when(inside, newton).otherwise((F.col("lo2") + F.col("hi2")) / 2).alias("lam"),
                     F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.abs(gap) / F.greatest(F.col("source_size"), F.lit(1))).cast("double").alias("miss"))
         )
-        before, state = state, common.stash(after, 1)
+        before, state = state, common.stash(after)
         common.discard(before)
         worst = state.where("hi - lo > 1e-12").agg(F.max("miss")).first()[0]
         if worst is None or worst < TOLERANCE:
@@ -97,23 +102,24 @@ def tilts(histogram: DataFrame, sources: DataFrame, most: int = 2) -> DataFrame:
 
 
 def whole(group: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Copies of the documents of one group, whose rates are fractions of slots filled."""
+    """Copies that all rows of each entry of one group take together; an entry is `rows` rows of one
+    size and rate. Entry by entry this is what row by row would come to."""
     group = group.sort_values(["size", "order"], ascending=[False, True], kind="stable")
     short, copies = 0.0, []
-    for size, rate in zip(group["size"].tolist(), group["rate"].tolist(), strict=True):
+    for size, rate, rows in zip(group["size"].tolist(), group["rate"].tolist(), group["rows"].tolist(), strict=True):
         if size <= 0:
             copies.append(0)
             continue
-        n = int((rate * size + short) / size + 0.5)
-        n = min(max(n, 0), most)
-        short += (rate - n) * size
+        n = math.floor((rows * rate * size + short) / size + 0.5)
+        n = min(max(n, 0), rows * most)
+        short += (rows * rate - n) * size
         copies.append(n)
     return group.assign(copies=copies)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: int = 2) -> DataFrame:
     """doc_id, source, size, source_size, target, rate and copies of every row of docs."""
-    each = common.stash(sizes(docs))
+    each = common.stash(sizes(docs), even=True)
     by_source = each.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
     sources = common.stash(targets(by_source, weights, total, most))
     numbered = each.join(sources.select(F.col("source").alias("_s"), "number", "source_size", "source_docs", "target"), each["source"].eqNullSafe(F.col("_s"))).drop("_s")
@@ -124,16 +130,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.
     rate = F.when((F.col("size") == 0) | (F.col("target") <= 0), F.lit(0.0)).when(full, F.lit(float(most))).otherwise(most * p)
     spread = F.xxhash64("doc_id", "size")
     cells = F.ceil(F.col("source_docs") / CELL)
+    once = numbered.groupBy("number", "doc_id", "size").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("source", "source_size", "source_docs", "target")))
     rated = (
-        numbered.join(tilt, "number", "left")
+        once.join(tilt, "number", "left")
         .withColumns({"rate": F.coalesce(rate, F.lit(0.0)), "cell": F.pmod(spread, cells), "order": spread})
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "number", "cell", "order")
+        .select("doc_id", "source", "size", "source_size", "target", "rate", "rows", "number", "cell", "order")
     )
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return whole(group, most)[names]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, source string, size bigint, source_size bigint, target double, rate double, copies bigint"
-    names = ["doc_id", "source", "size", "source_size", "target", "rate", "copies"]
-    return rated.groupBy("number", "cell").applyInPandas(run, schema)
+    schema = f"doc_id {kind}, source string, size bigint, source_size bigint, target double, rate double, rows bigint, copies bigint"
+    names = ["doc_id", "source", "size", "source_size", "target", "rate", "rows", "copies"]
+    out = rated.groupBy("number", "cell").applyInPandas(run, schema)
+    # a row for each row, in steps so that no array grows with their number
+    out = out.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / CELL))))
+    out = out.withColumn("i", F.explode(F.sequence(F.col("step") * CELL + 1, F.least(F.col("rows"), (F.col("step") + 1) * CELL))))
+    more = (F.col("i") <= F.col("copies") % F.col("rows")).cast("bigint")
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", (F.floor(F.col("copies") / F.col("rows")) + more).alias("copies"))
