@@ -1,29 +1,34 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
 Candidates are what the base patterns match and what wider patterns match beside them
-(addresses written out, phone numbers without +). Labelers vote on each candidate or
+(addresses written out, IPv6, cards in other groupings, phone numbers without +). Labelers vote on each candidate or
 abstain: `form` (the validated pattern), `gazetteer` (top-level domains, calling codes,
 issuer prefixes, reserved networks), `context` (cue words before it), `edges` (whether it
 stands free). Expectation-maximisation over the counts of vote patterns estimates how
-often each labeler is right on spans and on others, and the share of spans, per kind. Its
+often each labeler is right on spans and on others, and the share of spans, per kind and breadth of pattern. Its
 posteriors are the soft labels of the final classifier, a logistic regression on votes,
-kind and length, fitted to the same counts. Both fits read one row per pattern, a number
+family and length, fitted to the same counts. Both fits read one row per pattern, a number
 bounded by the labelers and not by the data.
 
 Validated base spans always stand; of the other candidates those that the classifier
-accepts are added if they overlap none of them.
+accepts are added if they overlap none of them. Of two added ones that overlap, the one of
+the earlier pattern stays.
 
 A text is read once, in one projection: matches and the pieces between them give positions
 without a UDF, as each pattern runs to its end without backtracking over what it has read
 (possessive quantifiers, and matches start only where a run starts or the last match ended).
 
 Defined results: a null text is empty and has no spans. Every row of the input gives a row;
-rows that repeat a doc_id are scanned each.
+rows that repeat a doc_id are scanned each, and null ids are carried as null. A very long text is
+scanned whole; positions are summed and spans compared in groups, so neither grows with the square of
+its spans. Ties in likelihood fall to the threshold (accepted at exactly it). An empty table
+gives an empty table. Only doc_id and text are read, so the names of other columns can't clash.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +44,15 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wider patterns for candidates that only the classifier can admit.
+#: Wider patterns for candidates that only the classifier can admit: kind, pattern, and what a text must match to be searched.
 WIDER = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?[\[(] ?at ?[\])] ?{_LABEL}{{1,63}}+(?: ?[\[(] ?dot ?[\])] ?{_LABEL}{{2,63}}+)++",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "email_marked": ("email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?[\[({{<] ?(?i:at) ?[\])}}>] ?{_LABEL}{{1,63}}+(?:(?: ?[\[({{<] ?(?i:dot) ?[\])}}>] ?|\.){_LABEL}{{2,63}}+)++", r"(?i)[\[({<] ?at ?[\])}>]"),
+    "email_spoken": ("email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ (?i:at) {_LABEL}{{1,63}}+(?: (?i:dot) {_LABEL}{{2,63}}+)++", r"(?i) dot "),
+    "ip_v6": ("ip", r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])", r"[0-9A-Fa-f]::?[0-9A-Fa-f]"),
+    "card_marked": ("card", r"(?<![0-9._/])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9._/])", r"[0-9]{4}[._/][0-9]{4}"),
+    "phone_local": ("phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])", r"[0-9]{3}[ .-][0-9]{4}"),
+    "phone_trunk": ("phone", r"(?<![0-9+.-])\(0[0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9.-])", r"\(0[0-9]"),
+    "phone_abroad": ("phone", r"(?<![0-9+.-])00[1-9](?:[ .()-]?[0-9]){7,12}+(?![0-9.-])", r"00[1-9]"),
 }
 #: Gazetteers and cue words.
 DOMAINS = "com org net edu gov mil int info biz io ai app dev co uk us de fr es it nl eu ch at be se no dk fi pl pt ru cn jp kr in br mx ar au ca nz za".split()
@@ -61,7 +71,12 @@ AGAINST = {
     "phone": r"(?i)(isbn|order|invoice|serial|figure|version)[^\p{L}]*$",
 }
 LABELERS = ("form", "gazetteer", "context", "edges")
+#: What is assumed of each labeler before any count: its chances of a yes on spans and on others, and the weight of this in candidates.
+ASSUMED = {"form": (0.9, 0.2, 10), "gazetteer": (0.9, 0.4, 10), "context": (0.98, 0.1, 10), "edges": (0.9, 0.4, 10)}
+#: The least chance of a yes on spans, whatever the counts, where it is not 0.5: a counter-cue stands before at most one span in 50.
+LEAST_YES = {"context": 0.98}
 CHUNK = 256
+GROUP = 64
 
 
 def _sums(a: Column, start: Column) -> Column:
@@ -86,7 +101,7 @@ def _step(pieces: str):  # noqa: ANN202
 
 
 def digits(c: Column) -> Column:
-    return F.translate(c, "+ ().-", "")
+    return F.translate(c, "+ ().-_/", "")
 
 
 def luhn(number: Column) -> Column:
@@ -118,10 +133,11 @@ def gazetteer(kind: str, m: Column) -> Column:
     if kind == "email":
         return F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)[^A-Za-z0-9-]*$", 1)).isin(DOMAINS)
     if kind == "ip":
-        return ~(m.startswith("0.") | m.startswith("255.") | F.ltrim(m, F.lit("0")).rlike(r"^(22[4-9]|23[0-9]|24[0-9]|25[0-5])\."))
+        local = F.lower(m).rlike("^(fe80|ff[0-9a-f]{2}|2001:0?db8|0*:)")
+        return F.when(F.contains(m, F.lit(":")), ~local).otherwise(~(m.startswith("0.") | m.startswith("255.") | F.ltrim(m, F.lit("0")).rlike(r"^(22[4-9]|23[0-9]|24[0-9]|25[0-5])\.")))
     if kind == "card":
         return _starts(digits(m), ISSUERS)
-    return F.when(m.startswith("+"), _starts(F.ltrim(digits(m), F.lit("0")), CALLING)).otherwise(~digits(m).rlike("^[01]"))
+    return F.when(m.startswith("+"), _starts(F.ltrim(digits(m), F.lit("0")), CALLING)).when(m.startswith("00"), _starts(F.substring(digits(m), 3, 3), CALLING)).when(m.startswith("(0"), True).otherwise(~digits(m).rlike("^[01]"))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -129,7 +145,7 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(F.lit(True) if no is None else no, 0).otherwise(-1).cast("tinyint")
 
 
-SPAN = "struct<kind:tinyint,start:bigint,end:bigint,base:boolean,form:tinyint,gazetteer:tinyint,context:tinyint,edges:tinyint,long:tinyint>"
+SPAN = "struct<kind:tinyint,rank:tinyint,start:bigint,end:bigint,base:boolean,form:tinyint,gazetteer:tinyint,context:tinyint,edges:tinyint,long:tinyint>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -139,9 +155,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     out = out.withColumn("numbers", F.col("text").rlike("[0-9]"))
     guards = {
         "email": F.contains("text", F.lit("@")), "ip": F.col("numbers") & F.contains("text", F.lit(".")), "card": F.col("numbers"), "phone": F.col("numbers") & F.contains("text", F.lit("+")),
-        "email2": F.col("text").rlike(r"[\[(] ?at ?[\])]"), "phone2": F.col("numbers"),
     }
-    patterns = [(k, k, BASE[k]) for k in KINDS] + [(f"{k}2", k, p) for k, p in WIDER.items()]
+    guards |= {name: (F.lit(True) if kind == "email" else F.col("numbers")) & F.col("text").rlike(guard) for name, (kind, _, guard) in WIDER.items()}
+    patterns = [(k, k, BASE[k]) for k in KINDS] + [(name, kind, p) for name, (kind, p, _) in WIDER.items()]
+    ranks = {name: i for i, (name, _, _) in enumerate(patterns)}
     for name, _, pattern in patterns:
         out = out.withColumn(f"m_{name}", F.when(guards[name], F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
         out = out.withColumn(f"p_{name}", F.when(F.size(f"m_{name}") > 0, F.split("text", pattern, -1)).otherwise(none))
@@ -156,29 +173,38 @@ def candidates(docs: DataFrame) -> DataFrame:
             cue = F.right(before, F.lit(40))
             ok = valid(kind, m) if name == kind else F.lit(False)
             return F.struct(
-                F.lit(KINDS.index(kind)).cast("tinyint").alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), ok.alias("base"),
+                F.lit(KINDS.index(kind)).cast("tinyint").alias("kind"), F.lit(ranks[name]).cast("tinyint").alias("rank"), start.alias("start"), (start + F.length(m)).alias("end"), ok.alias("base"),
                 (_vote(ok) if name == kind else F.lit(-1).cast("tinyint")).alias("form"), _vote(gazetteer(kind, m)).alias("gazetteer"),
                 _vote(cue.rlike(CUES[kind]), cue.rlike(AGAINST[kind])).alias("context"),
                 _vote(~F.right(before, F.lit(1)).rlike(r"[\p{L}\p{N}_@/+-]") & ~F.left(after, F.lit(1)).rlike(r"[\p{L}\p{N}_@/]")).alias("edges"),
                 F.when(F.length(m) < 12, 0).when(F.length(m) < 20, 1).otherwise(2).cast("tinyint").alias("long"),
             )
 
-        # a match of the card pattern with fewer than 11 digits is no candidate of any kind
-        some = F.filter(F.transform(f"m_{name}", one), lambda s: s["base"] | (s["end"] - s["start"] >= 11)) if kind == "card" else F.transform(f"m_{name}", one)
+        some = F.transform(f"m_{name}", one)
+        if name == "card":  # a match with fewer than 11 digits is no candidate of any kind
+            some = F.filter(some, lambda s: s["base"] | (s["end"] - s["start"] >= 11))
+        elif kind == "card":  # nor is one that fails its check digit
+            some = F.transform(F.filter(F.arrays_zip(F.col(f"m_{name}").alias("m"), some.alias("s")), lambda z: luhn(digits(z["m"]))), lambda z: z["s"])
         return F.when(F.size(f"m_{name}") > 0, some).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     return out.select("doc_id", F.concat(*(spans(name, kind).cast(f"array<{SPAN}>") for name, kind, _ in patterns)).alias("spans"))
 
 
-Pattern = tuple[int, int, int, int, int, int]  # kind, votes, long
+Pattern = tuple[int, int, int, int, int, int]  # family, votes, long
+FAMILIES = 2 * len(KINDS)
 
 
-def expectation_maximisation(counts: dict[Pattern, int], rounds: int = 100) -> tuple[dict[Pattern, float], dict]:
+def family(s: Column) -> Column:
+    """The kind, apart for candidates of base patterns and of wider ones: far fewer of the latter are spans."""
+    return s["kind"].cast("int") + F.when(s["rank"] >= len(KINDS), len(KINDS)).otherwise(0)
+
+
+def expectation_maximisation(counts: dict[Pattern, int], rounds: int = 100, least_yes: dict[str, float] | None = None) -> tuple[dict[Pattern, float], dict]:
     """(posterior of each pattern, reliabilities): Dawid and Skene's model with abstentions,
-    per kind a share of spans, per kind and labeler the chances of a yes on spans and on others."""
+    per family a share of spans, per family and labeler the chances of a yes on spans and on others."""
     kinds = sorted({p[0] for p in counts})
     share = dict.fromkeys(kinds, 0.6)
-    hit = {(k, j): (0.85, 0.25) for k in kinds for j in range(len(LABELERS))}
+    hit = {(k, j): ASSUMED[name][:2] for k in kinds for j, name in enumerate(LABELERS)}
     post: dict[Pattern, float] = {}
     for _ in range(rounds):
         for p in counts:
@@ -192,20 +218,21 @@ def expectation_maximisation(counts: dict[Pattern, int], rounds: int = 100) -> t
             mine = [(p, n) for p, n in counts.items() if p[0] == k]
             spans, all_ = sum(n * post[p] for p, n in mine), sum(n for _, n in mine)
             share[k] = (spans + 3) / (all_ + 5)
-            for j in range(len(LABELERS)):
+            for j, name in enumerate(LABELERS):
+                on_spans, on_others, weight = ASSUMED[name]
                 voted = [(p, n) for p, n in mine if p[1 + j] >= 0]
-                yes = sum(n * post[p] * p[1 + j] for p, n in voted) + 8.5
-                of = sum(n * post[p] for p, n in voted) + 10
-                no = sum(n * (1 - post[p]) * p[1 + j] for p, n in voted) + 2.5
-                of_no = sum(n * (1 - post[p]) for p, n in voted) + 10
+                yes = sum(n * post[p] * p[1 + j] for p, n in voted) + on_spans * weight
+                of = sum(n * post[p] for p, n in voted) + weight
+                no = sum(n * (1 - post[p]) * p[1 + j] for p, n in voted) + on_others * weight
+                of_no = sum(n * (1 - post[p]) for p, n in voted) + weight
                 # a labeler is better than chance: else the two classes could change places
-                hit[k, j] = (max(yes / of, 0.5), min(no / of_no, 0.5))
+                hit[k, j] = (max(yes / of, (least_yes or {}).get(name, 0.5)), min(no / of_no, 0.5))
     return post, {"share": share, "hit": hit}
 
 
 def _vector(p: Pattern) -> list[float]:
     votes = [x for v in p[1:5] for x in (float(v == 1), float(v == 0))]
-    return [1.0, *(float(p[0] == k) for k in range(len(KINDS))), *votes, float(p[5] == 1), float(p[5] == 2)]
+    return [1.0, *(float(p[0] == k) for k in range(FAMILIES)), *votes, float(p[5] == 1), float(p[5] == 2)]
 
 
 def classifier(counts: dict[Pattern, int], post: dict[Pattern, float], ridge: float = 1.0) -> list[float]:
@@ -226,9 +253,9 @@ def classifier(counts: dict[Pattern, int], post: dict[Pattern, float], ridge: fl
 
 def _probability(s: Column, beta: list[float]) -> Column:
     z = F.lit(beta[0])
-    for k in range(len(KINDS)):
-        z = z + F.when(s["kind"] == k, beta[1 + k]).otherwise(0.0)
-    at = 1 + len(KINDS)
+    for k in range(FAMILIES):
+        z = z + F.when(family(s) == k, beta[1 + k]).otherwise(0.0)
+    at = 1 + FAMILIES
     for j, name in enumerate(LABELERS):
         z = z + F.when(s[name] == 1, beta[at + 2 * j]).when(s[name] == 0, beta[at + 2 * j + 1]).otherwise(0.0)
     return 1 / (1 + F.exp(-(z + F.when(s["long"] == 1, beta[-2]).when(s["long"] == 2, beta[-1]).otherwise(0.0))))
@@ -239,17 +266,37 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(names, s["kind"].cast("int") + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
+def _grouped(spans: Column) -> Column:
+    """Spans by start, in groups with the range that each covers."""
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / GROUP).cast("int")), lambda c: F.slice(by_start, c * GROUP + 1, F.lit(GROUP)))
+    ranged = F.transform(groups, lambda g: F.struct(F.get(g, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(g, lambda s: s["end"])).alias("hi"), g.alias("spans")))
+    return F.when(F.size(spans) > 0, ranged).otherwise(F.filter(ranged, lambda g: F.lit(False)))
+
+
+def _meets(groups: Column, s: Column, which: Callable[[Column], Column] | None = None) -> Column:
+    """Whether a span of the groups, one that `which` holds for if given, overlaps s. Groups out of reach are
+    passed over whole, so many spans in one text don't meet one by one."""
+    hit = lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    if which is not None:
+        return F.exists(groups, lambda g: (g["lo"] < s["end"]) & (s["start"] < g["hi"]) & F.exists(g["spans"], lambda b: hit(b) & which(b)))
+    return F.exists(groups, lambda g: (g["lo"] < s["end"]) & (s["start"] < g["hi"]) & F.exists(g["spans"], hit))
+
+
 def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end of base and
     added ones, by kind and start) and n_added of each row of docs."""
-    found = common.stash(candidates(docs))
-    each = found.where(F.size("spans") > 0).select(F.explode("spans").alias("s")).groupBy("s.kind", *(f"s.{n}" for n in LABELERS), "s.long").count()
-    counts = {tuple(int(v) for v in r[:6]): int(r["count"]) for r in each.collect()}  # 4 * 3^4 * 3 patterns at most
-    beta = classifier(counts, expectation_maximisation(counts)[0]) if counts else [0.0] * (3 + len(KINDS) + 2 * len(LABELERS))
+    found = common.stash(candidates(docs), even=True)
+    each = found.where(F.size("spans") > 0).select(F.explode("spans").alias("s")).groupBy(family(F.col("s")).alias("family"), *(f"s.{n}" for n in LABELERS), "s.long").count()
+    counts = {tuple(int(v) for v in r[:6]): int(r["count"]) for r in each.collect()}  # 8 * 3^4 * 3 patterns at most
+    beta = classifier(counts, expectation_maximisation(counts, least_yes=LEAST_YES)[0]) if counts else [0.0] * (3 + FAMILIES + 2 * len(LABELERS))
     order = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    out = found.withColumn("base", F.filter("spans", lambda s: s["base"]))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    out = out.withColumn("added", F.filter("spans", lambda s: ~s["base"] & (s["form"] != 0) & (_probability(s, beta) >= threshold) & apart(s)))
+    out = common.once(found, "base", F.filter("spans", lambda s: s["base"]))
+    out = common.once(out, "likely", F.filter("spans", lambda s: ~s["base"] & (s["form"] != 0) & (_probability(s, beta) >= threshold)))
+    some = common.once(out, "groups", F.when(F.size("likely") > 0, _grouped(F.col("base"))))
+    some = common.once(some, "clear", F.filter("likely", lambda s: ~_meets(F.col("groups"), s)))
+    some = common.once(some, "rivals", F.when(F.size("clear") > 1, _grouped(F.col("clear"))))
+    out = some.withColumn("added", F.when(F.size("clear") > 1, F.filter("clear", lambda s: ~_meets(F.col("rivals"), s, lambda b: b["rank"] < s["rank"]))).otherwise(F.col("clear")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     return out.select(
         "doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(_listed(order(F.col("base"))), 256).alias("base_sha256"),
