@@ -5,7 +5,9 @@ Its trie and the edit automaton are run together as one automaton over the lette
 word: a state is the set of trie nodes within reach and the edits spent on each; states
 and transitions are made when first met and kept, so nearly every word leaves after a
 few steps. A word within the edits that a term's length allows is a misspelling of it,
-unless clean training documents use that very word.
+unless it is at home in clean training documents: one that toxic ones don't use clearly more.
+States and words that a worker remembers are bounded; what falls out is worked out again,
+with the same result.
 
 Each hit is placed by a window of the words before it and by the marks of its line: in
 quotation, or reported by a verb of saying, it counts apart from abuse. Logistic
@@ -16,7 +18,12 @@ fifth, the first by a hash of doc_id, each text once; everything else covers eve
 document and whole texts.
 
 Defined results: null and empty texts have no hits and score below 0.5. Without
-training rows of both classes the weights are those in PRIOR.
+training rows of both classes the weights are those in PRIOR. A very long text is read as a
+whole; marks of quotation count up to REACH characters to either side within the line. Rows
+that repeat a doc_id are scored each by its own text, and train once with the highest label.
+Of several terms in reach the one with the fewest edits, then the first by name, is hit. An
+empty table gives an empty table. Only doc_id and text are read, so the names of
+other columns can't clash.
 """
 
 from __future__ import annotations
@@ -43,7 +50,10 @@ PRIOR = np.array([-3.5, 4.0, 3.0, 1.0, 0.7, 1.0])  # intercept, then FEATURES
 PRIOR_WEIGHT = 2.0
 WORD = re.compile(r"[^\W_]+")
 WINDOW = 6
-MEMORY = 300_000
+REACH = 400
+MEMORY = 300_000  # words that a worker remembers
+STATES = 50_000  # states of the automaton that a worker keeps
+LEAST_LIFT = 1.0
 
 
 def allowed(term: str) -> int:
@@ -71,6 +81,9 @@ class Automaton:
                 node = self.children[node][ch]
             self.most[node] = max(self.most[node], allowed(term))
             self.ends[node] = i
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
@@ -113,6 +126,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term number) of the nearest term in reach."""
+        if len(self.states) > STATES:
+            self._begin()
         state, dead, steps = self.start, self.dead, self.steps
         for ch in word:
             after = steps[state].get(ch)
@@ -149,9 +164,11 @@ class Lexicon:
 
     def look_up(self, word: str) -> tuple[float, bool] | None:
         """(weight, exact) of a word in lower case."""
+        if word in self.memory:
+            return self.memory[word]
         if self.automaton is None:
             self.automaton = Automaton(sorted(self.weights))
-        if len(self.memory) > MEMORY:
+        if len(self.memory) >= MEMORY:
             self.memory.clear()
         hit = self.automaton.match(word)
         out = None
@@ -163,13 +180,8 @@ class Lexicon:
     def hits(self, text: str | None) -> tuple[list[tuple[int, int, float, bool, bool]], int]:
         """((start, end, weight, exact, quoted) of each hit, number of words)."""
         low = (text or "").lower()
-        memory, look = self.memory, self.look_up
         words = WORD.findall(low)
-        missing = [w for w in set(words) if w not in memory]
-        found = {w: hit for w in missing if (hit := look(w))}
-        for w in set(words):
-            if w not in found and memory.get(w):
-                found[w] = memory[w]
+        found = {w: hit for w in set(words) if (hit := self.look_up(w))}
         if not found:
             return [], len(words)
         out, before = [], []
@@ -185,10 +197,13 @@ class Lexicon:
 
 def quoted(text: str, start: int, end: int, before: list[str]) -> bool:
     """Whether the words at start:end are someone's words that the text reports."""
-    lo = text.rfind("\n", 0, start) + 1
-    hi = text.find("\n", end)
-    left, right = text[max(lo, start - 400) : start], text[end : hi if 0 <= hi < end + 400 else end + 400]
-    if left.lstrip().startswith(">") and lo >= start - 400:
+    left, right = text[max(0, start - REACH) : start], text[end : end + REACH]
+    whole = start <= REACH or text[start - REACH - 1] == "\n"  # whether left begins where the line does
+    at = left.rfind("\n")
+    if at >= 0:
+        left, whole = left[at + 1 :], True
+    right = right.partition("\n")[0]
+    if whole and left.lstrip().startswith(">"):
         return True
     if left.count('"') % 2 and '"' in right:
         return True
@@ -242,7 +257,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
             words = list(by[0].keys() | by[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([by[1][w] for w in words], pa.int64()), pa.array([by[0][w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
 
-    return sample.mapInArrow(run, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return common.in_arrow(sample, run, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 40_000, max_terms: int = 2_000) -> ToxicityModel:
@@ -272,8 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
             hit = [(h := lexicon.value.look_up(w)) is not None and not h[1] for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(hit, pa.bool_()))
 
-    # words of a bounded sample that are near a term
-    blocked = frozenset(r["word"] for r in counts.where("clean > 0").select("word").mapInArrow(near, "word string").collect())
+    # words of a bounded sample that are near a term, and no likelier in toxic documents by LEAST_LIFT
+    at_home = counts.where("clean > 0").where(lift < LEAST_LIFT).select("word")
+    blocked = frozenset(r["word"] for r in common.in_arrow(at_home, near, "word string").collect())
+    lexicon.destroy()
     lexicon = spark.sparkContext.broadcast(Lexicon(weights, blocked))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
             x, _ = features(lexicon.value, batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(v) for v in x.T)], names=["y", *FEATURES])
 
-    rows = sample.mapInArrow(vectors, "y int, " + ", ".join(f"{f} double" for f in FEATURES)).collect()  # max_train rows at most
+    rows = common.in_arrow(sample, vectors, "y int, " + ", ".join(f"{f} double" for f in FEATURES)).collect()  # max_train rows at most
+    lexicon.destroy()
     m = np.array(sorted(tuple(r) for r in rows))
     common.discard(sample)
     common.discard(counts)
@@ -303,6 +321,5 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, with_sp
             rows = [[dict(zip(("start", "end", "weight", "exact", "quoted"), s, strict=True)) for s in hits] for hits in spans] if with_spans else [None] * len(p)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array([len(s) for s in spans], pa.int64()), pa.array(rows, span)], names=["doc_id", "score", "predicted", "hits", "spans"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id {kind}, score double, predicted int, hits bigint, spans array<struct<start:bigint,end:bigint,weight:double,exact:boolean,quoted:boolean>>"
-    )
+    schema = f"doc_id {kind}, score double, predicted int, hits bigint, spans array<struct<start:bigint,end:bigint,weight:double,exact:boolean,quoted:boolean>>"
+    return common.in_arrow(docs.select("doc_id", F.col("text").cast("string")), run, schema)
