@@ -18,8 +18,10 @@ line; any other has a shorter one inside that scores no less.
 All of it is column expressions in one pass: no shuffle, no join, no Python on executors.
 
 Defined results: null and empty texts have no piece and no row. Each row of the input is
-scanned by itself, so repeated rows give repeated results. Of equal coefficients the
-template that is first by name wins.
+scanned by itself, so repeated rows give repeated results, and null ids are carried as null.
+Of equal coefficients the template that is first by name wins. A very long text is compared
+by its lines, paragraphs and windows like any other. An empty table gives an empty table. Only
+doc_id and text are read, so the names of other columns can't clash.
 """
 
 from __future__ import annotations
@@ -31,12 +33,17 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalquarry.llm.common import once
+
 THRESHOLD = 0.8
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _BSD3_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+
 #: Public license texts and the notices that stand for them.
 TEMPLATES: dict[str, str] = {
     "agpl-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -55,13 +62,16 @@ TEMPLATES: dict[str, str] = {
     "gpl-2.0/line": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0/line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0/notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc": _ISC + """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "isc/notice": _ISC,
     "mit": _MIT,
     "mit/line": "Released under the MIT License.",
     "mpl-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "public-domain/line": "This work is released into the public domain.",
-    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "unlicense": _UNLICENSE + """ In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "unlicense/notice": _UNLICENSE,
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "zlib/notice": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
 }
 #: Frequent English words, from the most frequent on.
 FREQUENT = "the of and to a in is that for it as with be on by at this are or from an was not you if will all any no in 1 2 3 4 0 5 may who its use see work such".split()
@@ -104,12 +114,6 @@ def _bigrams(words: Column) -> Column:
     return F.when(n > 1, F.array_distinct(pair)).otherwise(F.array().cast("array<string>"))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """A column that the optimizer computes once: conditions on it can't be pushed below
-    the generator, which would work the expression out again for each of its uses."""
-    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -120,15 +124,15 @@ def _windows(plain: DataFrame, known: list[dict], threshold: float) -> DataFrame
     known = [t | {"least": -(-num * t["n"] // rest)} for t in known]
     table = F.from_json(F.lit(json.dumps(known)), "array<struct<license:string,grams:array<string>,n:int,least:int>>")
     every = F.array(*(F.lit(g) for g in sorted({g for t in known for g in t["grams"]})))
-    met = _once(plain, "words", F.filter(F.split("norm", "[ \n]+", -1), lambda w: w != ""))
-    met = _once(met.where(F.size("words") > 1), "met", F.array_intersect(_bigrams(F.col("words")), every)).drop("words")
+    met = once(plain, "words", F.filter(F.split("norm", "[ \n]+", -1), lambda w: w != ""))
+    met = once(met.where(F.size("words") > 1), "met", F.array_intersect(_bigrams(F.col("words")), every)).drop("words")
     asked = F.filter(table, lambda t: (F.size("met") >= t["least"]) & (F.size(F.array_intersect("met", t["grams"])) >= t["least"]))
-    met = _once(met.where(F.size("met") > 0), "asked", asked).where(F.size("asked") > 0).drop("met")
+    met = once(met.where(F.size("met") > 0), "asked", asked).where(F.size("asked") > 0).drop("met")
     in_line = lambda t, i: F.transform(F.filter(F.split(t, " +", -1), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("i")))
-    met = _once(met, "placed", F.flatten(F.transform("lines", in_line)))
+    met = once(met, "placed", F.flatten(F.transform("lines", in_line)))
     at = lambda i: F.element_at("placed", i)
     pair = lambda i: F.struct(F.concat_ws(" ", at(i)["w"], at(i + 1)["w"]).alias("g"), at(i)["i"].alias("a"), at(i + 1)["i"].alias("b"))
-    met = _once(met, "pairs", F.transform(F.sequence(F.lit(1), F.size("placed") - 1), pair)).drop("placed")
+    met = once(met, "pairs", F.transform(F.sequence(F.lit(1), F.size("placed") - 1), pair)).drop("placed")
     distinct = lambda pairs, a, b: F.size(F.array_distinct(F.transform(F.filter(pairs, lambda p: (p["a"] >= a) & (p["b"] <= b)), lambda p: p["g"])))
 
     def of_template(t: Column) -> Column:
@@ -143,7 +147,7 @@ def _windows(plain: DataFrame, known: list[dict], threshold: float) -> DataFrame
         return _let(F.filter("pairs", lambda p: F.array_contains(t["grams"], p["g"])), of_hits)
 
     reached = F.array_sort(F.filter(F.flatten(F.transform("asked", of_template)), lambda w: w["d"] <= -threshold))
-    met = _once(met, "reached", reached).where(F.size("reached") > 0)
+    met = once(met, "reached", reached).where(F.size("reached") > 0)
     common = lambda v, w: F.least(v["b"], w["b"]) - F.greatest(v["a"], w["a"]) + 1
     length = lambda v: v["b"] - v["a"] + 1
     beaten = lambda v, w: (common(v, w) > 0) & ((v["license"] == w["license"]) | ((2 * common(v, w) > F.least(length(v), length(w))) & (2 * F.least(v["n"], w["n"]) > F.greatest(v["n"], w["n"]))))
@@ -165,28 +169,28 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     least, most = -(-num * min(t["n"] for t in known) // rest), rest * max(t["n"] for t in known) // num
     table = F.from_json(F.lit(json.dumps(known)), "array<struct<license:string,grams:array<string>,n:int>>")
     words = F.array(*(F.lit(w) for w in anchors(templates, threshold)))
-    plain = _once(docs.select("doc_id", F.col("text").cast("string").alias("text")), "norm", F.regexp_replace(F.lower("text"), _KEPT, " ")).drop("text")
+    plain = once(docs.select("doc_id", F.col("text").cast("string").alias("text")), "norm", F.regexp_replace(F.lower("text"), _KEPT, " ")).drop("text")
     plain = plain.where(F.arrays_overlap(F.split("norm", "[ \n]+", -1), words))
-    plain = _once(plain, "lines", F.split("norm", "\n", -1))
+    plain = once(plain, "lines", F.split("norm", "\n", -1))
     windows = _windows(plain.where(F.size("lines") > 1), known, threshold)
     kind = "array<struct<piece:string,first_line:bigint,text:string>>"
     piece = lambda name, at, text: F.struct(F.lit(name).alias("piece"), at.cast("bigint").alias("first_line"), text.alias("text"))
     filled = lambda i: F.trim(F.element_at("lines", i + 1)) != ""
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: filled(i) & ((i == 0) | ~filled(F.greatest(i - 1, F.lit(0)))))
     paragraphs = F.filter(F.split("norm", r"\n *(?:\n *)+", -1), lambda t: F.regexp_replace(t, "[ \n]+", "") != "")
-    plain = _once(_once(plain, "starts", starts), "filled", paragraphs)
+    plain = once(once(plain, "starts", starts), "filled", paragraphs)
     pieces = plain.select("doc_id", F.explode(F.concat(
         F.transform("lines", lambda t, i: piece("line", i, t)),
         F.when(F.size("filled") > 1, F.transform("filled", lambda t, i: piece("paragraph", F.element_at("starts", i + 1), t))).otherwise(F.array().cast(kind)),
         F.when(F.size("lines") > 1, F.array(piece("text", F.lit(0), F.col("norm")))).otherwise(F.array().cast(kind)),
     )).alias("p")).select("doc_id", "p.*")
-    pieces = _once(pieces, "words", F.filter(F.split("text", "[ \n]+", -1), lambda w: w != "")).drop("text")
-    pieces = _once(pieces.where(F.arrays_overlap("words", words) & (F.size("words") > least)), "grams", _bigrams(F.col("words"))).drop("words")
+    pieces = once(pieces, "words", F.filter(F.split("text", "[ \n]+", -1), lambda w: w != "")).drop("text")
+    pieces = once(pieces.where(F.arrays_overlap("words", words) & (F.size("words") > least)), "grams", _bigrams(F.col("words"))).drop("words")
     n = F.size("grams")
     near = F.filter(table, lambda t: (n * rest >= t["n"] * num) & (n * num <= t["n"] * rest))
     dice = lambda t: F.round(2.0 * F.size(F.array_intersect("grams", t["grams"])) / (n + t["n"]), 6)
     best = F.array_min(F.transform(near, lambda t: F.struct((-dice(t)).alias("d"), t["license"].alias("license"))))
-    found = _once(pieces.where(n.between(least, most)), "best", best)
+    found = once(pieces.where(n.between(least, most)), "best", best)
     found = found.where(F.col("best.d") <= -threshold).select("doc_id", "piece", "first_line", F.size("grams").cast("bigint").alias("n_bigrams"), F.col("best.license").alias("license"), (-F.col("best.d")).alias("dice"))
     return found.unionAll(windows)
 
@@ -208,6 +212,6 @@ def duckdb_sql(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHO
     ),
     w AS (SELECT *, list_filter(regexp_split_to_array(x, '[ \\n]+'), lambda z: z <> '') AS ws FROM u),
     g AS (SELECT doc_id, piece, pos, list_distinct(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS grams FROM w WHERE len(ws) > 1),
-    d AS (SELECT g.doc_id, g.piece, g.pos, CAST(len(g.grams) AS BIGINT) AS n_bigrams, t.license, round(2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)), 6) AS dice FROM g, t WHERE len(g.grams) <= 1000)
+    d AS (SELECT g.doc_id, g.piece, g.pos, CAST(len(g.grams) AS BIGINT) AS n_bigrams, t.license, round(2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)), 6) AS dice FROM g, t)
     SELECT doc_id, piece, CAST(pos AS BIGINT) AS first_line, n_bigrams, license, dice FROM d WHERE dice >= {threshold}
     QUALIFY row_number() OVER (PARTITION BY doc_id, piece, pos ORDER BY dice DESC, license) = 1"""
