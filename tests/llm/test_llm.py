@@ -104,6 +104,48 @@ def test_repetition_base(spark, prose):
         assert r["base_failed"] == (len(w) < 20 or 100 * repeated > 30 * len(w)) and not (r["kept"] and r["base_failed"])
 
 
+def brute_repeats(w, least):
+    """(words covered by repeats of `least` words or more, longest repeat)."""
+    longest, gone = 0, set()
+    for p in range(len(w)):
+        for q in range(len(w)):
+            n = 0
+            while p != q and p + n < len(w) and q + n < len(w) and w[p + n] == w[q + n]:
+                n += 1
+            if n >= least:
+                longest = max(longest, n)
+                gone.update(range(p, p + n))
+    return len(gone), longest
+
+
+def test_repetition_verdict_is_the_methods(spark, prose):
+    r = random.Random(12)
+    passage = prose(40)
+    phrase = prose(5)
+    texts = [" ".join(f"{phrase} {prose(1)}{i}" for i in range(14)), f"{passage} {prose(200)} {passage}", f"{passage} {prose(350)} {passage}", prose(60), f"{prose(12)} {prose(12)} " * 2 + prose(70), *ODD]
+    for _ in range(40):
+        words = prose(6).split()
+        texts.append(" ".join(r.choice(words) if r.random() < 0.5 else prose(1) for _ in range(r.randint(20, 70))))
+    docs = frame(spark, texts).withColumn("kept", F.lit("clash")).withColumn("spans", F.lit(1))
+    plain = {r_["doc_id"]: r_ for r_ in repetition.repetition(docs, with_spans=False).where("doc_id is not null").collect()}
+    verdicts = set()
+    for row in repetition.repetition(docs).where("doc_id is not null").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", texts[row["doc_id"] - 1] or "")
+        covered, longest = brute_repeats(w, 4) if len(w) < 600 else (row["covered_words"], row["longest_repeat"])
+        assert (row["covered_words"], row["longest_repeat"]) == (covered, longest)
+        bad = covered > 0.3 * len(w) or (longest >= 40 and longest > 0.1 * len(w))
+        assert row["kept"] == (not row["base_failed"] and not bad)
+        verdicts.add((row["base_failed"], bad))
+        assert {k: row[k] for k in ("kept", "covered_words", "n_repeat_words")} == {k: plain[row["doc_id"]][k] for k in ("kept", "covered_words", "n_repeat_words")} and plain[row["doc_id"]]["spans"] is None
+    assert (False, True) in verdicts and (False, False) in verdicts
+    assert [row["kept"] for row in repetition.repetition(docs).where("doc_id <= 4").orderBy("doc_id").collect()] == [False, False, True, True]
+    twice = spark.createDataFrame([(1, texts[0]), (1, texts[3]), (1, texts[3])], "doc_id bigint, text string")
+    assert sorted(row["kept"] for row in repetition.repetition(twice).collect()) == [False, True, True]
+    assert repetition.repetition(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, prose(30) + " " + "so it goes on and on " * 60_000)], "doc_id bigint, text string")
+    assert repetition.repetition(long, with_spans=False).first()["longest_repeat"] == 360_000 - 6
+
+
 def brute_components(rows):
     sets, parent = {}, {}
     for i, t in rows:
@@ -252,11 +294,54 @@ def test_mixing(spark, prose):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_entries_equal_row_by_row(spark, prose):
+    """An entry of many equal rows takes what they take one by one; such rows share evenly."""
+    import pandas as pd
+
+    def one_by_one(sizes, rates):
+        short, out = 0.0, []
+        for size, rate in zip(sizes, rates, strict=True):
+            n = min(max(int(np.floor((rate * size + short) / size + 0.5)), 0), 2)
+            short += (rate - n) * size
+            out.append(n)
+        return out
+
+    r = random.Random(3)
+    for _ in range(200):
+        entries = sorted(((r.randint(1, 60), r.choice([0.3, 0.77, 1.0, 1.4, 1.96]), r.choice([1, 1, 2, 9])) for _ in range(12)), reverse=True)
+        table = pd.DataFrame([(s, q, k, i) for i, (s, q, k) in enumerate(entries)], columns=["size", "rate", "rows", "order"])
+        plain = one_by_one([s for s, _, k in entries for _ in range(k)], [q for _, q, k in entries for _ in range(k)])
+        at, want = 0, []
+        for _, _, k in entries:
+            want.append(sum(plain[at : at + k]))
+            at += k
+        got = mixing.whole(table, 2)["copies"].tolist()
+        assert all(abs(a - b) <= 1 for a, b in zip(got, want, strict=True)) and abs(sum(s * c for (s, _, _), c in zip(entries, got, strict=True)) - sum(s * c for (s, _, _), c in zip(entries, want, strict=True))) <= 60
+    rows = [(1, prose(10), "a")] * 9000 + [(i, prose(30), "b") for i in range(300)] + [(None, None, None)]
+    docs = spark.createDataFrame([(*x, 5, 6) for x in rows], "doc_id bigint, text string, source string, rows int, number int")
+    out = mixing.mix(docs, weights=(1, 3)).collect()
+    assert len(out) == len(rows) and all(x["copies"] <= 2 for x in out)
+    for s in "ab":
+        mine = [x for x in out if x["source"] == s]
+        assert abs(sum(x["copies"] * x["size"] for x in mine) - mine[0]["target"]) <= 60
+    assert max(x["copies"] for x in out if x["doc_id"] == 1 and x["source"] == "a") - min(x["copies"] for x in out if x["doc_id"] == 1 and x["source"] == "a") <= 1
+
+
+def test_numbers_follow_the_order(spark):
+    from evalquarry.llm import common
+
+    names = [None, *(f"s{i:03d}" for i in range(200))]
+    random.Random(1).shuffle(names)
+    got = common.numbered(spark.createDataFrame([(x,) for x in names], "source string"), F.col("source").asc_nulls_last(), "number").collect()
+    assert sorted((r["number"], r["source"]) for r in got) == [(i, f"s{i:03d}") for i in range(200)] + [(200, None)]
+    assert common.numbered(spark.createDataFrame([], "source string"), F.col("source"), "number").count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path, prose):
     html = [None, "", "<p>é</p>", "<p>same</p>", "<p>same</p>", "\r\n\r\nodd\r\n", *(f"<html>{prose(80)}</html>" for _ in range(40)), "<p>same</p>"]
     rows = [(i if i != 5 else None, None if i == 2 else f"http://x/{i} y", h) for i, h in enumerate(html)] + [(46, "http://again", "<p>same</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    warc.write(pages, f"file://{tmp_path}/w")
+    warc.write(pages.withColumn("sha", F.lit("clash")).withColumn("key", F.lit(1)), f"file://{tmp_path}/w")
     back = warc.read(spark, f"file://{tmp_path}/w").collect()
     assert len(back) == len(rows)
     keeper = {}
@@ -273,6 +358,26 @@ def test_warc_round_trip(spark, tmp_path, prose):
     assert all(x[:4] == warc.DICTIONARY_MAGIC for x in archives) and sum(len(list(warc.records(x))) for x in archives) == len(rows)
 
 
+def test_warc_archives_are_bounded(spark, tmp_path, prose):
+    """Many copies, long pages, repeated rows; archives end by rows and by bytes."""
+    r = random.Random(4)
+    noise = "".join(chr(r.randrange(32, 0x2000)) for _ in range(60_000))
+    html = ["<p>copy</p>"] * 300 + [noise, noise + "x", noise] + [prose(50) for _ in range(100)]
+    rows = [(i, f"http://x/{i}", h) for i, h in enumerate(html)] + [(402, "http://x/402", html[402]), (7, "http://x/7", html[7])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    warc.write(pages, f"file://{tmp_path}/w", most_rows=40, most_bytes=40_000)
+    archives = [x for p in (tmp_path / "w").glob("part-*") if (x := p.read_bytes())]
+    assert len(archives) > 10
+    for x in archives:
+        records = list(warc.records(x))
+        assert x[:4] == warc.DICTIONARY_MAGIC and 0 < len(records) < 40
+    back = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((r_["page_id"], r_["refers_to"]) for r_ in back) == sorted((i, None if (m := max(j for j, _, g in rows if g == h)) == i else m) for i, _, h in rows)
+    assert {r_["page_id"]: bytes(r_["payload"]).decode() for r_ in back if r_["record_type"] == "response"} == {max(j for j, _, g in rows if g == h): h for _, _, h in rows}
+    warc.write(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_greedy_tiles_take_the_longest_first():
     for seed in range(30):
         r = random.Random(seed)
@@ -298,6 +403,55 @@ def test_greedy_tiles_take_the_longest_first():
         assert sorted(got) == sorted(want)
 
 
+def test_tiles_of_repeats_equal_brute_force(prose):
+    """Phrases that text and items repeat; what `likely` leaves out has too little cover."""
+    r = random.Random(9)
+    phrase = prose(8)
+    for _ in range(25):
+        words = lambda n: " ".join(r.choice([phrase, prose(r.randint(1, 6)), "aa bb aa bb aa"]) for _ in range(n))  # noqa: B023, E731
+        items, texts = [words(r.randint(1, 4)) for _ in range(4)], [words(r.randint(0, 9)) for _ in range(4)]
+        index = decontaminate.Index.of(list(range(4)), items, 5)
+        got = {x[:2]: x[2:] for x in decontaminate.found(index, pa.array(texts), 5, 0.5)}
+        want = {}
+        for (d, t), (i, item) in itertools.product(enumerate(texts), enumerate(items)):
+            a, b = re.findall(r"[a-z0-9]+", t), re.findall(r"[a-z0-9]+", item)
+            seeds = [(p, q) for p in range(len(a) - 4) for q in range(len(b) - 4) if a[p : p + 5] == b[q : q + 5]]
+            tiles = brute_tiles(a, b, 5) if seeds else []
+            covered = sum(x[2] for x in tiles)
+            if b and len(b) >= 5 and covered >= 0.5 * len(b):
+                want[d, i] = (len(tiles), covered, len(b))
+        assert got == want
+
+
+def brute_tiles(text, item, k):
+    in_text, in_item, tiles = set(), set(), []
+    while True:
+        best = None
+        for p in range(len(text)):
+            for t in range(len(item)):
+                n = 0
+                while p + n < len(text) and t + n < len(item) and text[p + n] == item[t + n] and p + n not in in_text and t + n not in in_item:
+                    n += 1
+                if n >= k and (best is None or (-n, t, p) < best):
+                    best = (-n, t, p)
+        if best is None:
+            return tiles
+        n, t, p = -best[0], best[1], best[2]
+        tiles.append((p, t, n))
+        in_text.update(range(p, p + n))
+        in_item.update(range(t, t + n))
+
+
+def test_many_repeats_of_one_phrase_are_cheap(prose):
+    import time
+
+    phrase = prose(12)
+    index = decontaminate.Index.of([0], [" ".join(f"{phrase} {prose(1)}" for _ in range(60))], 5)
+    began = time.time()
+    rows = list(decontaminate.found(index, pa.array([" ".join(f"{phrase} {prose(1)}" for _ in range(3000))]), 5, 0.5))
+    assert len(rows) == 1 and rows[0][3] >= 60 * 12 and time.time() - began < 20
+
+
 def test_decontamination(spark, prose, monkeypatch):
     item = prose(30)
     w = item.split()
@@ -311,6 +465,11 @@ def test_decontamination(spark, prose, monkeypatch):
         clean = decontaminate.clean(docs, bench)
         assert clean.columns == docs.columns and clean.count() == len(texts) - 2
     assert decontaminate.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
+    again = spark.createDataFrame([(5, item, "a"), (5, "none of it", "b"), (5, item, "c"), (None, item, "d"), (6, "w " * 200_000 + item, "e")], "doc_id bigint, text string, item_id string")
+    monkeypatch.setattr(decontaminate, "BLOCKS", 1)
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.contaminated(again, bench).collect()) == [(0, 0), (5, 0), (5, 0), (6, 0)]
+    assert [tuple(r) for r in decontaminate.clean(again, bench).collect()] == [(5, "none of it", "b")]
 
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -343,6 +502,56 @@ def test_pii(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_beyond_the_base_patterns(spark, prose):
+    """Recall on planted variants that no base pattern matches, and what cue words keep out."""
+    r = random.Random(21)
+    n = lambda k: "".join(r.choice("123456789") for _ in range(k))
+
+    def card():
+        body = "4" + n(14)
+        last = next(d for d in "0123456789" if sum(x - 9 if x > 9 else x for x in (int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(body + d)))) % 10 == 0)
+        s = body + last
+        return r.choice("._/").join((s[:4], s[4:8], s[8:12], s[12:]))
+
+    wide = {
+        "email": lambda: r.choice([f"ann.{n(2)} (at) mail{n(1)} (dot) com", f"bo{n(2)}[at]host{n(1)}[dot]org", f"cy{n(2)} at web{n(1)} dot net", f"di{n(2)} {{at}} site.io"]),
+        "ip": lambda: r.choice([":".join(f"{r.randrange(4096, 65536):x}" for _ in range(8)), f"2a02:{n(3)}::{n(2)}"]),
+        "card": card,
+        "phone": lambda: r.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"(0{n(2)}) {n(4)} {n(4)}", f"0044 {n(2)} {n(4)} {n(4)}"]),
+    }
+    base = {"email": lambda: f"x{n(3)}@mail{n(1)}.com", "ip": lambda: f"8{n(1)}.{n(1)}.{n(2)}.{n(2)}", "card": lambda: card().replace("_", "-").replace(".", "-").replace("/", "-"), "phone": lambda: f"+44 {n(2)} {n(4)} {n(4)}"}
+    cue = {"email": ["write to", "e-mail:", ""], "ip": ["host", "from", ""], "card": ["visa", "card", ""], "phone": ["call", "tel", ""]}
+    texts, want = [], []
+    for i in range(400):
+        kind = list(wide)[i % 4]
+        make = (base if i % 8 < 4 else wide)[kind]
+        span = make()
+        before = f"{prose(6)} {r.choice(cue[kind])} "
+        texts.append(f"{before}{span} {prose(5)}")
+        want.append((kind, len(before), len(before) + len(span), i % 8 >= 4))
+    decoys = [f"{prose(4)} order {n(3)}-{n(3)}-{n(4)} {prose(3)}" for _ in range(30)] + [f"{prose(3)} at {prose(3)} the dot {prose(2)}" for _ in range(20)] + [f"{prose(3)} 12:{n(2)}:{n(2)} {prose(2)}" for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts + decoys)], "doc_id bigint, text string, base string, rank int")
+    got = {r_["doc_id"]: r_["spans"].split(",") for r_ in pii.find(docs).collect()}
+    caught = [f"{k}:{a}:{b}" in got[i] for i, (k, a, b, extra) in enumerate(want) if extra]
+    assert all(f"{k}:{a}:{b}" in got[i] for i, (k, a, b, extra) in enumerate(want) if not extra)
+    assert sum(caught) >= 0.9 * len(caught), sum(caught) / len(caught)
+    wrong = [got[len(texts) + i] != [""] for i in range(len(decoys))]
+    assert sum(wrong[30:]) == 0 and sum(wrong[:30]) <= 6
+    for spans in got.values():
+        places = sorted(tuple(map(int, s.split(":")[1:])) for s in spans if s and s in spans)
+        assert len({s for s in spans}) == len(spans)
+        added = [p for p in places]
+        assert added == sorted(added)
+
+
+def test_pii_hostile_rows(spark):
+    many = "a@b.c (555) 123-4567 x (at) y (dot) com 1.2.3.4 " * 3000
+    rows = [(None, "mail a@b.c"), (1, "mail a@b.c"), (1, "mail a@b.c"), (1, None), (2, many)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, spans string")
+    got = pii.find(docs).collect()
+    assert sorted(r["n_email"] for r in got) == [0, 1, 1, 1, 3000] and max(r["n_added"] for r in got) <= 6000
+
+
 def test_em_tells_good_labelers_from_bad():
     r = random.Random(0)
     counts = {}
@@ -368,6 +577,31 @@ def test_automaton_equals_edit_distance():
         assert a.match(w) == near, w
 
 
+def test_forgetting_loses_no_hit(monkeypatch, prose):
+    texts = ["you idiot aa", "you idiot bb cc dd", "idiott morom ee ff gg idiot", prose(50) + " scum", None, "", "x" * 5000]
+    want = [toxicity.Lexicon(dict.fromkeys(toxicity.SEEDS, 1.0)).hits(t) for t in texts]
+    monkeypatch.setattr(toxicity, "MEMORY", 3)
+    monkeypatch.setattr(toxicity, "STATES", 5)
+    forgetful = toxicity.Lexicon(dict.fromkeys(toxicity.SEEDS, 1.0))
+    for _ in range(2):
+        assert [forgetful.hits(t) for t in texts] == want
+    assert len(forgetful.memory) <= 3 and [len(w[0]) for w in want[:4]] == [1, 1, 3, 1]
+
+
+def test_quotation_is_looked_for_in_the_line():
+    def slow(text, start, end):
+        lo, hi = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        left, right = text[max(lo, start - 400) : start], text[end : hi if 0 <= hi < end + 400 else end + 400]
+        return (left.lstrip().startswith(">") and lo >= start - 400) or (left.count('"') % 2 == 1 and '"' in right) or any(left.rfind(a) > left.rfind(b) and b in right for a, b in toxicity.QUOTES.items())
+
+    r = random.Random(8)
+    for _ in range(3000):
+        text = "".join(r.choice(['"', "\n", "> ", "“", "”", "a" * r.choice([1, 30, 390])]) for _ in range(r.randint(1, 12)))
+        start = r.randrange(len(text))
+        end = min(len(text), start + 3)
+        assert toxicity.quoted(text, start, end, []) == slow(text, start, end), (text, start)
+
+
 def test_toxicity(spark, prose):
     bad = [prose(20) + " you idiot " + prose(10) + " total moron " + prose(5) for _ in range(40)]
     fine = [prose(40) for _ in range(120)]
@@ -407,6 +641,109 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_hostile_rows(spark):
+    """Clashing names, ids that repeat, a long text, one window in most rows."""
+    long = "\n".join(f"line {i % 50_000}" for i in range(100_000))
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc\nd"), (None, "a\nb\nc"), (3, long), (4, "x\n\ny\nz"), *((i, "q\na\nb\nc") for i in range(5, 200))]
+    docs = spark.createDataFrame([(*r, 1, 2, [3], 4, 5, 6) for r in rows], "doc_id int, text string, cut_id int, _cut_id int, _cut_starts array<int>, starts int, lines_removed int, ID int")
+    got = line_dedup.dedup(docs)
+    assert got.columns == ["doc_id", "text", "cut_id", "_cut_id", "_cut_starts", "starts", "ID", "lines_before", "lines_removed"]
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["doc_id"], []).append((r["text"], r["lines_removed"]))
+    assert by[1] == [("a\nb\nc", 0)] * 2 and by[2] == [("d", 3)] and by[None] == [("a\nb\nc", 0)] and by[4] == [("x\n\ny\nz", 0)]
+    assert by[3] == [("\n".join(f"line {i}" for i in range(50_000)), 50_000)]
+    assert by[5] == [("q", 3)] and all(by[i] == [("", 4)] for i in range(6, 200))
+
+
+def brute_quality(rows, labels, threshold):
+    """The discriminant from its definition: class covariances, determinants, distances."""
+    texts = [t for _, t in rows]
+    n, x = quality_classifier.text_features(pa.array(texts, pa.string()))
+    held = lambda i: __import__("zlib").crc32(str(i).encode()) % 5 == 0
+    by = {c: x[[j for j, (i, _) in enumerate(rows) if i is not None and n[j] and labels.get(i) == c and not held(i)]] for c in (0, 1)}
+    total = len(by[0]) + len(by[1])
+    prior = (len(by[0]) + 1) / (total + 2)
+    cov = {c: np.cov(by[c].T, bias=True) for c in by}
+    gap = by[1].mean(0) - by[0].mean(0)
+    spread = np.diag(np.maximum(np.diag(sum(len(by[c]) * cov[c] for c in by) / total) + prior * (1 - prior) * gap**2, 1e-6))
+    odds = np.log((1 - prior) / prior)
+    for c, sign in ((1, 1), (0, -1)):
+        w = max(0.1, 1 / (1 + len(by[c]) / 20))
+        s = (1 - w) * cov[c] + w * spread
+        d = x - by[c].mean(0)
+        odds = odds - sign * 0.5 * (np.linalg.slogdet(s)[1] + np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    return n, np.where(n > 0, 1 / (1 + np.exp(-np.clip(odds, -700, 700))), 0.0)
+
+
+def brute_lines(rows):
+    """Texts after line dedup: {position: (text, lines, lines removed)}."""
+    first, out = {}, {}
+    for at, (i, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
+        lines = (t or "").split("\n")
+        filled = [j for j, x in enumerate(lines) if x.strip(" \t\v\f\r")]
+        gone = set()
+        for p in range(len(filled) - 2 if i is not None else 0):
+            key = tuple(lines[j].strip(" \t\v\f\r") for j in filled[p : p + 3])
+            if first.setdefault(key, (i, p)) != (i, p):
+                gone.update(filled[p : p + 3])
+        out[at] = ("\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else t, len(filled), len(gone))
+    return out
+
+
+def test_quality_equals_its_definition(spark, prose):
+    texts = [prose(40 + i) + "." for i in range(50)] + [(prose(30) + "!! ") * 3 + "#" * i for i in range(50)] + ODD + [prose(50)] * 3
+    rows = [(i + 1, t) for i, t in enumerate(texts)] + [(1, "an other text # of the same id"), (None, prose(9))]
+    labels = {i + 1: int(i < 50) for i in range(100)}
+    want_n, want = brute_quality(rows, labels, 0.3)
+    docs = spark.createDataFrame([(*r, 0.5, 9) for r in rows], "doc_id bigint, text string, score double, n_words int")
+    known = spark.createDataFrame([(i, q, None) for i, q in labels.items()], "doc_id int, quality int, toxic int")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], round(r["score"], 9)) for r in quality_classifier.classify(docs, known).collect())
+    assert got == sorted((i is None, i or 0, int(n), round(float(p), 9)) for (i, _), n, p in zip(rows, want_n, want, strict=True))
+    kept = quality_classifier.keep(docs, known)
+    assert kept.columns == docs.columns and kept.count() == sum(p >= 0.3 for p in want)
+
+
+def test_pipeline_equals_brute_force(spark, prose, tmp_path):
+    """The stages one after the other on hostile rows, each worked out again on what the one before kept."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    item, shared = prose(30), "\n".join(prose(7) for _ in range(4))
+    base = prose(90).split()
+    texts = [*ODD, "#!! # " * 30, *(" ".join([*base[:i], prose(1) + "q", *base[i:]]) for i in range(5, 60, 6))]
+    texts += [f"{prose(20)}\n{shared}\n{prose(25)}" for _ in range(8)] + [shared, prose(60) + "\n" + item, item.upper() + "\n" + prose(5)]
+    texts += [prose(r.randint(30, 120)) + "." for _ in range(40)] + [prose(50)] * 4 + ["!! ".join(prose(40).upper().split()) + " ## $$" for _ in range(25)]
+    rows = [(None if i % 23 == 22 else i + 1, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", None if t is None else len(t), "extra") for i, t in enumerate(texts)]
+    rows.append((3, prose(40), "en", "s1", 1, None))
+    labels = [(i, int(not (t or "").endswith("$$") and "#!!" not in (t or "")), None) for i, t, *_ in rows if i is not None and i % 2]
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, doc string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    worst = {}
+    for i, q, _ in labels:
+        worst[i] = min(q, worst.get(i, 1))
+    state = [(i, t, s) for i, t, _, s, _, _ in rows]
+    _, p = brute_quality([x[:2] for x in state], worst, 0.3)
+    state = [x for x, v in zip(state, p, strict=True) if v >= 0.3]
+    after = brute_lines([x[:2] for x in state])
+    state = [(i, after[at][0], s) for at, (i, _, s) in enumerate(state) if not after[at][2] or after[at][2] < after[at][1]]
+    assert len({i for i, _, _ in state if i is not None}) == sum(i is not None for i, _, _ in state)
+    groups = brute_components([(i, t) for i, t, _ in state if i is not None])
+    state = [(i, t, s) for i, t, s in state if i is None or groups[i][1] == i]
+    plain = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    state = [(i, t, s) for i, t, s in state if 2 * sum(x[2] for x in brute_tiles(plain(t), plain(item), 5)) < len(plain(item))]
+    got = corpus_pipeline.run(spark, folder).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    assert sorted((x["doc_id"] or 0, x["source"] or "", x["size"]) for x in got) == sorted((i or 0, s or "", size(t)) for i, t, s in state)
+    assert 0 < len(got) < len(rows) - 40 and all(x["taken"] <= 2 * x["size"] for x in got)
+    for s in {x["source"] for x in got}:
+        mine = [x for x in got if x["source"] == s]
+        assert mine[0]["source_size"] == sum(x["size"] for x in mine) and abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 130
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
