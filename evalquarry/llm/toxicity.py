@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,7 +52,7 @@ WORD = re.compile(r"[^\W_]+")
 WINDOW = 6
 REACH = 400
 MEMORY = 300_000  # words that a worker remembers
-STATES = 50_000  # states of the automaton that a worker keeps
+STATES = 100_000  # states of the automaton that a worker keeps
 LEAST_LIFT = 1.0
 
 
@@ -81,17 +81,15 @@ class Automaton:
                 node = self.children[node][ch]
             self.most[node] = max(self.most[node], allowed(term))
             self.ends[node] = i
-        self._begin()
-
-    def _begin(self) -> None:
         self.states: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
         self.numbers: dict[tuple, int] = {}
+        self.known = 0  # transitions kept
         self.dead = self._state({})
-        self.start = self._state({0: 0})
+        self.start = self._state(self._closed({0: 0}))
 
-    def _state(self, reach: dict[int, int]) -> int:
+    def _closed(self, reach: dict[int, int]) -> dict[int, int]:
         todo = list(reach.items())  # letters left out of the word: go on in the trie without reading
         while todo:
             node, spent = todo.pop()
@@ -101,41 +99,56 @@ class Automaton:
                 if spent + 1 <= self.most[child] and spent + 1 < reach.get(child, 99):
                     reach[child] = spent + 1
                     todo.append((child, spent + 1))
+        return reach
+
+    def _accepted(self, reach: Iterable[tuple[int, int]]) -> tuple[int, int] | None:
+        return min(((spent, self.ends[n]) for n, spent in reach if self.ends[n] >= 0 and spent <= allowed(self.terms[self.ends[n]])), default=None)
+
+    def _state(self, reach: dict[int, int]) -> int:
         key = tuple(sorted(reach.items()))
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-            ends = [(spent, self.ends[n]) for n, spent in key if self.ends[n] >= 0 and spent <= allowed(self.terms[self.ends[n]])]
-            self.accepts.append(min(ends) if ends else None)
+            self.accepts.append(self._accepted(key))
         return self.numbers[key]
 
-    def _step(self, state: int, ch: str) -> int:
+    def _after(self, before: Iterable[tuple[int, int]], ch: str) -> dict[int, int]:
         reach: dict[int, int] = {}
 
         def to(node: int, spent: int) -> None:
             if spent <= self.most[node] and spent < reach.get(node, 99):
                 reach[node] = spent
 
-        for node, spent in self.states[state]:
+        for node, spent in before:
             to(node, spent + 1)  # a letter too many
             for letter, child in self.children[node].items():
                 to(child, spent + (letter != ch))
-        out = self.steps[state][ch] = self._state(reach)
-        return out
+        return self._closed(reach)
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(edits, term number) of the nearest term in reach."""
-        if len(self.states) > STATES:
-            self._begin()
+        """(edits, term number) of the nearest term in reach. Once STATES states or as many
+        transitions per letter are kept, what is not among them is worked out anew each time."""
         state, dead, steps = self.start, self.dead, self.steps
-        for ch in word:
+        for at, ch in enumerate(word):
             after = steps[state].get(ch)
-            state = self._step(state, ch) if after is None else after
+            if after is None:
+                if len(self.states) >= STATES or self.known >= 10 * STATES:
+                    return self._plainly(dict(self.states[state]), word[at:])
+                after = steps[state][ch] = self._state(self._after(self.states[state], ch))
+                self.known += 1
+            state = after
             if state == dead:
                 return None
         return self.accepts[state]
 
+    def _plainly(self, reach: dict[int, int], rest: str) -> tuple[int, int] | None:
+        for ch in rest:
+            reach = self._after(reach.items(), ch)
+            if not reach:
+                return None
+        return self._accepted(reach.items())
+
 
 def distance(a: str, b: str) -> int:
     """Plain edit distance, for tests."""
@@ -180,8 +193,11 @@ class Lexicon:
     def hits(self, text: str | None) -> tuple[list[tuple[int, int, float, bool, bool]], int]:
         """((start, end, weight, exact, quoted) of each hit, number of words)."""
         low = (text or "").lower()
-        words = WORD.findall(low)
-        found = {w: hit for w in set(words) if (hit := self.look_up(w))}
+        words, found, memory = WORD.findall(low), {}, self.memory
+        for w in set(words):
+            hit = memory[w] if w in memory else self.look_up(w)
+            if hit:
+                found[w] = hit
         if not found:
             return [], len(words)
         out, before = [], []
