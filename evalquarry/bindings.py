@@ -18,7 +18,7 @@ _DUCK_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS
 #: The V pipeline: dense and lexical sources, a filter behind lexical, rank fusion, a gate to
 #: rerank or fast, an expansion, a selection. Each common table is one operator's output.
 _V = """
-v_q AS (SELECT vec_id AS qid, label, embedding FROM embeddings WHERE vec_id % 25 = 0),
+v_q AS (SELECT vec_id AS qid, label, embedding FROM embeddings WHERE vec_id % 20 = 0),
 v_sim AS (SELECT q.qid, e.vec_id AS did, round({dot}, 6) AS s, round({dot16}, 6) AS s16, e.label
   FROM v_q q JOIN embeddings e ON e.vec_id <> q.qid),
 v_dense AS (SELECT * FROM (SELECT qid, did, s AS score, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, did) AS rank FROM v_sim) t WHERE rank <= 50),
@@ -29,12 +29,12 @@ v_filter AS (SELECT r.run_id, qid, did, score, s, row_number() OVER (PARTITION B
 v_arms AS (SELECT r.run_id, 'dense' AS op_id, qid, did, s, rank FROM v_dense CROSS JOIN v_runs r UNION ALL SELECT run_id, 'filter', qid, did, s, rank FROM v_filter),
 v_fuse AS (SELECT * FROM (SELECT run_id, qid, did, s, score, row_number() OVER (PARTITION BY run_id, qid ORDER BY score DESC, CAST(did AS STRING)) AS rank
   FROM (SELECT run_id, qid, did, max(s) AS s, round(sum(1e0 / (60 + rank)), 9) AS score FROM v_arms GROUP BY run_id, qid, did) f) t WHERE rank <= 30),
-v_rerank AS (SELECT * FROM (SELECT run_id, qid, did, s AS score, s, row_number() OVER (PARTITION BY run_id, qid ORDER BY s DESC, did) AS rank FROM v_fuse WHERE qid % 2 = 0) t WHERE rank <= 10),
-v_fast AS (SELECT run_id, qid, did, score, s, rank FROM v_fuse WHERE qid % 2 = 1 AND rank <= 12),
+v_rerank AS (SELECT * FROM (SELECT run_id, qid, did, s AS score, s, row_number() OVER (PARTITION BY run_id, qid ORDER BY s DESC, did) AS rank FROM v_fuse WHERE qid % 40 = 0) t WHERE rank <= 10),
+v_fast AS (SELECT run_id, qid, did, score, s, rank FROM v_fuse WHERE qid % 40 <> 0 AND rank <= 12),
 v_branch AS (SELECT run_id, 'rerank' AS op_id, qid, did, score, s, rank FROM v_rerank UNION ALL SELECT run_id, 'fast', qid, did, score, s, rank FROM v_fast),
 v_back AS (SELECT l.qid, r.run_id, l.did, l.s, row_number() OVER (PARTITION BY l.qid, r.run_id ORDER BY l.rank) AS k
   FROM v_lex l CROSS JOIN v_runs r WHERE l.did % 5 = 0 AND r.run_id = 'A' AND NOT EXISTS (SELECT 1 FROM v_branch b WHERE b.run_id = r.run_id AND b.qid = l.qid AND b.did = l.did)),
-v_expand AS (SELECT run_id, qid, did, score, s, CAST(NULL AS BIGINT) AS parent, row_number() OVER (PARTITION BY run_id, qid ORDER BY g, rank) AS rank FROM (
+v_expand AS (SELECT run_id, qid, did, score, s, parent, row_number() OVER (PARTITION BY run_id, qid ORDER BY g, rank) AS rank FROM (
   SELECT run_id, qid, did, score, s, CAST(NULL AS BIGINT) AS parent, 0 AS g, rank FROM v_branch WHERE rank <> 3
   UNION ALL SELECT run_id, qid, did, s, s, CAST(NULL AS BIGINT), 1, k FROM v_back WHERE k <= 2
   UNION ALL SELECT run_id, qid, did + 100000, score, s, did, 2, rank FROM v_branch WHERE rank = 3) t),
@@ -49,9 +49,9 @@ v_io AS (
   UNION ALL SELECT run_id, qid, 3, 'fuse', 'out', NULL, did, rank, score, NULL, NULL FROM v_fuse
   UNION ALL SELECT run_id, qid, 4, 'gate', 'in', 'fuse', did, rank, score, NULL, NULL FROM v_fuse
   UNION ALL SELECT run_id, qid, 4, 'gate', 'out', NULL, did, rank, score, NULL, NULL FROM v_fuse
-  UNION ALL SELECT run_id, qid, 5, 'rerank', 'in', 'gate', did, rank, score, NULL, NULL FROM v_fuse WHERE qid % 2 = 0
-  UNION ALL SELECT run_id, qid, 5, 'rerank', 'out', NULL, did, rank, score, NULL, NULL FROM v_rerank WHERE qid % 10 <> 0 OR rank <= 4
-  UNION ALL SELECT run_id, qid, 6, 'fast', 'in', 'gate', did, rank, score, NULL, NULL FROM v_fuse WHERE qid % 2 = 1
+  UNION ALL SELECT run_id, qid, 5, 'rerank', 'in', 'gate', did, rank, score, NULL, NULL FROM v_fuse WHERE qid % 40 = 0
+  UNION ALL SELECT run_id, qid, 5, 'rerank', 'out', NULL, did, rank, score, NULL, NULL FROM v_rerank WHERE qid % 200 <> 0 OR rank <= 4
+  UNION ALL SELECT run_id, qid, 6, 'fast', 'in', 'gate', did, rank, score, NULL, NULL FROM v_fuse WHERE qid % 40 <> 0
   UNION ALL SELECT run_id, qid, 6, 'fast', 'out', NULL, did, rank, score, NULL, NULL FROM v_fast
   UNION ALL SELECT run_id, qid, 7, 'expand', 'in', op_id, did, rank, score, NULL, NULL FROM v_branch
   UNION ALL SELECT run_id, qid, 7, 'expand', 'out', NULL, did, rank, score, parent, NULL FROM v_expand
@@ -65,10 +65,10 @@ v_ops AS (
   UNION ALL SELECT 3, 'fuse', 'FUSE', 'dense,filter', 30 UNION ALL SELECT 4, 'gate', 'GATE', 'fuse', NULL UNION ALL SELECT 5, 'rerank', 'RERANK', 'gate', 10
   UNION ALL SELECT 6, 'fast', 'TRANSFORM', 'gate', NULL UNION ALL SELECT 7, 'expand', 'EXPAND', 'rerank,fast', NULL UNION ALL SELECT 8, 'select', 'TRANSFORM', 'expand', NULL),
 spans AS (SELECT r.run_id, concat(r.run_id, '-', CAST(q.qid AS STRING)) AS trace_id, concat('q', CAST(q.qid AS STRING)) AS query_id, o.span_idx, o.op_id, o.op_type, o.parents, o.top_k,
-    CASE WHEN (o.op_id = 'rerank' AND q.qid % 2 = 1) OR (o.op_id = 'fast' AND q.qid % 2 = 0) THEN 'SKIPPED_BY_GATE' ELSE 'FIRED' END AS status,
-    CASE WHEN o.op_id = 'rerank' AND q.qid % 10 = 0 THEN 'truncated' ELSE 'recorded' END AS output_capture, o.op_id = 'select' AS is_final,
-    CAST((q.qid * 7 + o.span_idx * 13) % 50 + 1 AS DOUBLE) AS latency_ms,
-    CASE WHEN o.op_id = 'gate' THEN CASE WHEN q.qid % 2 = 0 THEN 'rerank' ELSE 'fast' END END AS route
+    CASE WHEN (o.op_id = 'rerank' AND q.qid % 40 <> 0) OR (o.op_id = 'fast' AND q.qid % 40 = 0) THEN 'SKIPPED_BY_GATE' ELSE 'FIRED' END AS status,
+    CASE WHEN o.op_id = 'rerank' AND q.qid % 200 = 0 THEN 'truncated' ELSE 'recorded' END AS output_capture, o.op_id = 'select' AS is_final,
+    CAST((q.qid * 7 + q.qid % 39 + o.span_idx * 13) % 50 + 1 AS DOUBLE) AS latency_ms,
+    CASE WHEN o.op_id = 'gate' THEN CASE WHEN q.qid % 40 = 0 THEN 'rerank' ELSE 'fast' END END AS route
   FROM v_q q CROSS JOIN v_ops o CROSS JOIN v_runs r),
 qrels AS (SELECT concat('q', CAST(q.qid AS STRING)) AS query_id, concat('d', CAST(e.vec_id AS STRING)) AS doc_id,
     CASE WHEN e.label = q.label AND e.vec_id % 7 = q.qid % 7 THEN 2 WHEN e.label = q.label THEN 1 ELSE 0 END AS grade
@@ -77,7 +77,7 @@ qrels AS (SELECT concat('q', CAST(q.qid AS STRING)) AS query_id, concat('d', CAS
 _L = """
 l_q AS (SELECT item_id, text FROM benchmark),
 l_tok AS (SELECT doc_id, w FROM (SELECT doc_id, {explode_doc} AS w FROM documents) t WHERE w <> ''),
-l_qtok AS (SELECT item_id, w FROM (SELECT item_id, pos, w, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS k FROM ({explode_q}) t WHERE w <> '') u WHERE k <= 12)
+l_qtok AS (SELECT item_id, w FROM ({explode_q}) t WHERE w <> '')
 """
 _M = """
 m_cell AS (SELECT l_orderkey AS ok, l_linenumber AS stage, min(l_returnflag) AS pipeline, max(l_discount) AS base, max(l_tax) AS cand FROM lineitem GROUP BY l_orderkey, l_linenumber),
@@ -114,11 +114,25 @@ _BASE = {"V": ["embeddings"], "L": ["benchmark", "documents"], "M": ["lineitem"]
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def forget() -> None:
+    """Work the stored tables out again on their next use."""
+    _kept.clear()
+
+
+def _state(spark: SparkSession, path: str) -> str:
+    """The path with the sizes and times of its files."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return "|".join([path, *sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in found)])
+
+
 class Evidence:
     """The tables of a binding as DataFrames: ev = Evidence(spark, sf_dir, "V"); ev("cands").
 
     Traces are stored tables that many queries read: those of V are written once per
-    application and folder, so no query works the pipeline out again."""
+    application and state of the input files, so no query works the pipeline out again and
+    changed files are read anew. `forget` drops them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, binding: str) -> None:
         self.spark, self.sf_dir, self.binding = spark, sf_dir, binding
@@ -133,7 +147,7 @@ class Evidence:
         df = self.spark.sql(f"WITH {self.text} SELECT * FROM {name}", **self.tables)
         if self.binding != "V":
             return df
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, _state(self.spark, f"{self.sf_dir}/embeddings.parquet"), name)
         if key not in _kept:
             _kept[key] = saved(df)
         return _kept[key]

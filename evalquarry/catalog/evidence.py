@@ -54,9 +54,10 @@ def W01_journey_events(ev: Evidence) -> DataFrame:
     return _events(ev).select("trace_id", "op_id", "candidate_id", "kind", "input_rank", "output_rank", "input_occurrences", "reason")
 
 
-@on("V", f"{_ROWS} SELECT trace_id, doc_id, judgment, observed, final_rank, membership, loss_boundary, partial, outcome, confusion, n_events FROM jo")
+@on("V", f"""{_ROWS} SELECT trace_id, doc_id, judgment, observed, final_rank, membership, loss_boundary, partial, outcome, confusion, n_events, CASE outcome WHEN 'relevant_excluded' THEN CASE WHEN partial THEN 1 ELSE 0 END
+  WHEN 'not_observed' THEN 0 WHEN 'insufficient_evidence' THEN 1 WHEN 'relevant_delivered' THEN 2 WHEN 'retained_below_cutoff' THEN 3 WHEN 'judged_nonrelevant' THEN 4 ELSE 5 END AS priority FROM jo""")
 def W02_journey_rows(ev: Evidence) -> DataFrame:
-    return _rows(ev).select("trace_id", "doc_id", "judgment", "observed", "final_rank", "membership", "loss_boundary", "partial", "outcome", "confusion", "n_events")
+    return _rows(ev).select("trace_id", "doc_id", "judgment", "observed", "final_rank", "membership", "loss_boundary", "partial", "outcome", "confusion", "n_events", "priority")
 
 
 @on("V", "SELECT DISTINCT run_id, op_id FROM spans WHERE is_final")
@@ -265,10 +266,11 @@ def N06_instrumentation(ev: Evidence) -> DataFrame:
     return N.instrumentation(s.where("op_id <> 'gate'").union(s.sparkSession.createDataFrame([("cache",)], "op_id string")), s)
 
 
-@on("V", """, i AS (SELECT run_id, avg(CAST(candidate_id IS NOT NULL AS INT)) AS identity, avg(CAST(doc_id IS NOT NULL AS INT)) AS document_identity FROM cands GROUP BY 1)
-SELECT i.*, round(s.io, 6) AS io, s.partial FROM i JOIN (SELECT run_id, avg(CAST(output_capture = 'recorded' AS INT)) AS io, count(*) FILTER (output_capture <> 'recorded') AS partial FROM spans WHERE status = 'FIRED' GROUP BY 1) s USING (run_id)""")
+@on("V", """, i AS (SELECT run_id, avg(CAST(candidate_id IS NOT NULL AS INT)) AS identity, avg(CAST(doc_id IS NOT NULL AS INT)) AS document_identity FROM cands GROUP BY 1),
+x AS (SELECT run_id, round(avg(CAST(r IS NOT NULL AS INT)), 6) AS exit_reason FROM (SELECT run_id, trace_id, span_idx, candidate_id, max(reason) AS r FROM cands GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (side = 'out') = 0) GROUP BY 1)
+SELECT i.*, x.exit_reason, round(s.io, 6) AS io, s.partial FROM i JOIN x USING (run_id) JOIN (SELECT run_id, avg(CAST(output_capture = 'recorded' AS INT)) AS io, count(*) FILTER (output_capture <> 'recorded') AS partial FROM spans WHERE status = 'FIRED' GROUP BY 1) s USING (run_id)""")
 def A28_lineage_coverage(ev: Evidence) -> DataFrame:
-    return N.lineage_coverage(ev("cands"), ev("spans")).withColumn("io", F.round("io", 6))
+    return N.lineage_coverage(ev("cands"), ev("spans")).withColumns({"io": F.round("io", 6), "exit_reason": F.round("exit_reason", 6)})
 
 
 @on("V", """, e AS (SELECT run_id, trace_id, concat_ws('|', op_id, op_type, array_to_string(list_sort(string_split(parents, ',')), ','), status) AS s FROM spans)

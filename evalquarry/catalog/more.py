@@ -111,10 +111,10 @@ def W06_score_steps(ev: Evidence) -> DataFrame:
     return ev("cands").where("trace_id = 'A-0' and side = 'out' and op_id = 'dense'").select("doc_id", "rank", "score", (F.col("score") - F.lag("score").over(w)).alias("step"))
 
 
-@on("V", """SELECT query_id, count(*) FILTER (run_id = 'A') > 0 AS in_a, count(*) FILTER (run_id = 'B' AND query_id <> 'q25') > 0 AS in_b FROM spans GROUP BY 1""")
+@on("V", """SELECT query_id, count(*) FILTER (run_id = 'A') > 0 AS in_a, count(*) FILTER (run_id = 'B' AND query_id <> 'q20') > 0 AS in_b FROM spans GROUP BY 1""")
 def J24_query_alignment(ev: Evidence) -> DataFrame:
     s = ev("spans")
-    a, b = (s.where(c).select("query_id").distinct() for c in ("run_id = 'A'", "run_id = 'B' and query_id <> 'q25'"))
+    a, b = (s.where(c).select("query_id").distinct() for c in ("run_id = 'A'", "run_id = 'B' and query_id <> 'q20'"))
     j = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), "query_id", "full_outer")
     return j.na.fill(False)
 

@@ -19,7 +19,7 @@ def _lists(ev: Evidence, op: str, run: str = "A") -> DataFrame:
 
 def _vectors(ev: Evidence) -> tuple[DataFrame, DataFrame]:
     e = ev("embeddings")
-    return e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
 @on("V", "SELECT qid AS query_id, did AS doc_id, round(score, 6) AS score, rank FROM v_dense")
@@ -47,7 +47,7 @@ SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY q
 @on("L", _BM25)
 def R02_bm25(ev: Evidence) -> DataFrame:
     words = ev("l_q").select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower("text"), r"[ \t\n\r]+")).alias("w"))
-    return R.bm25(words.where("w <> ''"), ev("l_tok"), top_k=10)
+    return R.bm25_texts(words.where("w <> ''"), ev("documents").select("doc_id", F.lower("text").alias("text")), top_k=10)
 
 
 @on("V", "SELECT concat('q', qid) AS query_id, concat('d', did) AS doc_id, score, rank FROM v_fuse WHERE run_id = 'A'")
@@ -77,9 +77,9 @@ def R09_filter_drops(ev: Evidence) -> DataFrame:
     return R.drops(_lists(ev, "lexical"), _lists(ev, "filter"), "filtered").select("query_id", "doc_id", "rank", "drop_reason")
 
 
-@on("V", "SELECT concat('q', qid) AS query_id, CASE WHEN qid % 2 = 0 THEN 'rerank' ELSE 'fast' END AS route, count(*) AS n FROM v_fuse WHERE run_id = 'A' GROUP BY 1, 2")
+@on("V", "SELECT concat('q', qid) AS query_id, CASE WHEN qid % 40 = 0 THEN 'rerank' ELSE 'fast' END AS route, count(*) AS n FROM v_fuse WHERE run_id = 'A' GROUP BY 1, 2")
 def R10_gate(ev: Evidence) -> DataFrame:
-    route = F.when(F.substring("query_id", 2, 20).cast("long") % 2 == 0, "rerank").otherwise("fast")
+    route = F.when(F.substring("query_id", 2, 20).cast("long") % 40 == 0, "rerank").otherwise("fast")
     return R.gate(_lists(ev, "fuse"), route, ["rerank", "fast"]).groupBy("query_id", "route").agg(F.count("*").alias("n"))
 
 

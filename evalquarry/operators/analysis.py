@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalquarry.plans.storage import saved
+
 
 def branches(cands: DataFrame, spans: DataFrame, qrels: DataFrame) -> DataFrame:
     """Per fused span: how many documents all branches share, how many relevant ones the
@@ -89,7 +91,9 @@ def lineage_coverage(cands: DataFrame, spans: DataFrame) -> DataFrame:
     captured; null where there is nothing to count."""
     ids = cands.groupBy("run_id").agg(F.avg(F.col("candidate_id").isNotNull().cast("int")).alias("identity"), F.avg(F.col("doc_id").isNotNull().cast("int")).alias("document_identity"))
     io = spans.where("status = 'FIRED'").groupBy("run_id").agg(F.avg((F.col("output_capture") == "recorded").cast("int")).alias("io"), F.count_if(F.col("output_capture") != "recorded").alias("partial"))
-    return ids.join(io, "run_id", "full_outer")
+    each = cands.groupBy("run_id", "trace_id", "span_idx", "candidate_id").agg(F.bool_or(F.col("side") == "out").alias("stays"), F.max("reason").alias("reason"))
+    exits = each.where("not stays").groupBy("run_id").agg(F.avg(F.col("reason").isNotNull().cast("int")).alias("exit_reason"))
+    return ids.join(exits, "run_id", "full_outer").join(io, "run_id", "full_outer")
 
 
 def topology(spans: DataFrame) -> DataFrame:
@@ -116,13 +120,14 @@ def graph_edges(spans: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, hops: int, edge_type: str | None = None) -> DataFrame:
     """doc_id and the least number of hops from the start documents, up to a bound. Each
-    level joins only the last level's new documents; lineage is cut by a checkpoint
-    where there are many levels."""
+    level joins only the last level's new documents and is written to the shared folder, so no
+    level is worked out again for the next."""
     e = edges if edge_type is None else edges.where(F.col("edge_type") == edge_type)
     e = e.select("src", "dst")
-    seen = start.select("doc_id").distinct().withColumn("hops", F.lit(0))
+    seen = saved(start.select("doc_id").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for hop in range(1, hops + 1):
-        front = front.join(e, front["doc_id"] == e["src"]).select(F.col("dst").alias("doc_id")).distinct().join(seen, "doc_id", "left_anti").withColumn("hops", F.lit(hop))
+        near = front.join(e, front["doc_id"] == e["src"]).select(F.col("dst").alias("doc_id")).distinct()
+        front = saved(near.join(seen, "doc_id", "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.union(front)
     return seen

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 TRACE = ["run_id", "trace_id", "query_id"]
 SPAN = [*TRACE, "span_idx", "op_id"]
-PRIORITY = {"relevant_excluded": 0, "retained_below_cutoff": 2, "not_observed": 3, "insufficient_evidence": 4, "relevant_delivered": 5, "judged_nonrelevant": 6, "unjudged": 7}
+#: The order in which pages list outcomes.
+PRIORITY = {"relevant_excluded": 0, "not_observed": 0, "insufficient_evidence": 1, "relevant_delivered": 2, "retained_below_cutoff": 3, "judged_nonrelevant": 4, "unjudged": 5}
 
 
 def events(cands: DataFrame, spans: DataFrame) -> DataFrame:

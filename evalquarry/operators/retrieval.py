@@ -6,12 +6,19 @@ lists rank with row_number, so Spark limits each group before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalquarry.plans.shipping import ship
+from evalquarry.plans.storage import saved
+
 BROADCAST_ROWS = 20_000
 
 
@@ -26,23 +33,153 @@ def by_score(key: str = "doc_id") -> tuple[Column, Column]:
     return F.desc("score"), F.asc(F.col(key).cast("string"))
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, top_k: int) -> np.ndarray:
+    """Indices of the top_k by descending score, then id."""
+    some = np.arange(len(scores))
+    if len(scores) > 4 * top_k:
+        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - top_k)[len(scores) - top_k])
+    return some[np.lexsort((ids[some], -scores[some]))[:top_k]]
+
+
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // BROADCAST_ROWS))
+
+
 def dense(queries: DataFrame, corpus: DataFrame, top_k: int, allow: DataFrame | None = None, digits: int = 6) -> DataFrame:
     """Exact inner products of query and corpus vectors (query_id, embedding; doc_id,
-    embedding). Queries of up to BROADCAST_ROWS rows are broadcast; more are dealt out with
-    the corpus in blocks, so neither side is ever in one task."""
+    embedding; ids are whole numbers; a query doesn't meet the document of its own id). The stated
+    queries are taken in blocks of some BROADCAST_ROWS, each broadcast to one scan of the
+    corpus; a task multiplies batch by batch and lets go of all but its top_k of each query, so
+    what is shuffled is queries x tasks x top_k rows, however large the corpus."""
+    spark = queries.sparkSession
+    ship(spark)
     if allow is not None:
         corpus = corpus.join(allow.select("doc_id").distinct(), "doc_id", "left_semi")
-    product = F.aggregate(F.zip_with("q.embedding", "d.embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q, d = queries.alias("q"), corpus.alias("d")
-    if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = d.join(F.broadcast(q), F.lit(True))
-    else:
-        blocks = max(1, queries.count() // BROADCAST_ROWS)
-        q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).alias("q")
-        d = corpus.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("d")
-        pairs = d.join(q, F.col("q.block") == F.col("d.block"))
-    scored = pairs.where("q.query_id <> d.doc_id").select("q.query_id", "d.doc_id", F.round(product, digits).alias("score"))
-    return ranked(scored, F.desc("score"), F.asc("doc_id"), top_k=top_k)
+    asked = saved(queries.where("embedding is not null").select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>")))
+    blocks = _parts(asked.count())
+    vectors = corpus.where("embedding is not null").select(F.col("doc_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+
+    def scan(shared) -> DataFrame:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix = shared.value
+            held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for lo in range(0, len(ids), 4096):
+                    some = ids[lo : lo + 4096]
+                    x = batch.column(1).slice(lo, len(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
+                    scores = np.round(matrix @ x.T, digits)
+                    for i, (s, d) in enumerate(held):
+                        s, d = np.concatenate((s, scores[i])), np.concatenate((d, some))
+                        s, d = s[d != names[i]], d[d != names[i]]
+                        top = _best(s, d, top_k)
+                        held[i] = s[top], d[top]
+            for i, (s, d) in enumerate(held):
+                if len(d):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), names[i])), pa.array(d), pa.array(s + 0.0)], names=["query_id", "doc_id", "score"])
+
+        return vectors.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+
+    out = []
+    for number in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()  # BROADCAST_ROWS rows or so
+        if block:
+            shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block])))
+            one = ranked(scan(shared), F.desc("score"), F.asc("doc_id"), top_k=top_k)
+            out.append(one if blocks == 1 else saved(one))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "query_id bigint, doc_id bigint, score double, rank int")
+
+
+def bm25_texts(queries: DataFrame, documents: DataFrame, top_k: int, split: str = r"[ \t\n\r]+", k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """BM25 over texts. queries: query_id, w, one row per occurrence of a query term (repeats
+    add again); documents: doc_id (whole number), text (as it is to be split). Scores above 0
+    only; ties keep corpus order, that of doc_id.
+
+    One scan counts documents, words and in how many documents each query term is; a second scores
+    every document against the queries where it is read and keeps each task's top_k. Query terms,
+    in blocks of some BROADCAST_ROWS queries, are broadcast; postings are never shuffled, so
+    no frequent term gathers in a task."""
+    spark = queries.sparkSession
+    ship(spark)
+    bag = saved(queries.groupBy("query_id", "w").agg(F.count("*").alias("qtf")))
+    blocks = _parts(bag.select("query_id").distinct().count())
+    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def words_of(apart: re.Pattern, text: pa.Scalar) -> list[str]:
+        return [w for w in apart.split(text.as_py() or "") if w]
+
+    def frequencies(terms: dict[str, int]) -> tuple[np.ndarray, int, int]:
+        """(documents of each term, documents that have a word, words)."""
+        vocabulary = spark.sparkContext.broadcast(terms)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, apart = vocabulary.value, re.compile(split)
+            df, n, length = np.zeros(len(known), np.int64), 0, 0
+            for batch in batches:
+                for text in batch.column(1):
+                    words = words_of(apart, text)
+                    if words:
+                        n, length = n + 1, length + len(words)
+                        df[[known[w] for w in set(words) if w in known]] += 1
+            there = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(there, [-1, -2])), pa.array(np.append(df[there], [n, length]))], names=["term", "n"])
+
+        sums = {r["term"]: r["n"] for r in texts.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        vocabulary.destroy()
+        return np.array([sums.get(i, 0) for i in range(len(terms))], float), sums.get(-1, 0), sums.get(-2, 0)
+
+    def search(rows: list) -> DataFrame | None:
+        terms = {w: i for i, w in enumerate(sorted({r["w"] for r in rows}))}
+        df, n, length = frequencies(terms)
+        if not n:
+            return None
+        names = sorted({r["query_id"] for r in rows})
+        place = {q: i for i, q in enumerate(names)}
+        asked: list = [([], []) for _ in terms]
+        for r in rows:
+            asked[terms[r["w"]]][0].append(place[r["query_id"]])
+            asked[terms[r["w"]]][1].append(r["qtf"])
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        shared = spark.sparkContext.broadcast((terms, [(np.array(q, np.int64), np.array(t, float)) for q, t in asked], idf, length / n, names))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, asked, idf, mean, names = shared.value
+            apart = re.compile(split)
+            held: list = [([], []) for _ in names]
+
+            def settle(i: int) -> None:
+                s, d = np.array(held[i][0]), np.array(held[i][1], np.int64)
+                top = _best(s, d, top_k)
+                held[i] = s[top].tolist(), d[top].tolist()
+
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    words, score = words_of(apart, text), np.zeros(len(names))
+                    for w, tf in Counter(words).items():
+                        if (t := known.get(w)) is not None:
+                            q, times = asked[t]
+                            score[q] += times * (idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean)))
+                    score = np.round(score, digits)
+                    for i in np.flatnonzero(score > 0).tolist():
+                        held[i][0].append(score[i])
+                        held[i][1].append(doc)
+                        if len(held[i][0]) > 8 * top_k + 64:
+                            settle(i)
+            for i, name in enumerate(names):
+                if held[i][0]:
+                    settle(i)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held[i][0])), pa.array(held[i][1], pa.int64()), pa.array(held[i][0], pa.float64())], names=["query_id", "doc_id", "score"])
+
+        return ranked(texts.mapInArrow(run, f"query_id {kind}, doc_id bigint, score double"), F.desc("score"), F.asc("doc_id"), top_k=top_k)
+
+    out = []
+    for number in range(blocks):
+        rows = bag.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()  # the terms of BROADCAST_ROWS queries or so
+        one = search(rows) if rows else None
+        if one is not None:
+            out.append(one if blocks == 1 else saved(one))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"query_id {kind}, doc_id bigint, score double, rank int")
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, top_k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:

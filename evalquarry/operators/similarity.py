@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def near_duplicate_pairs(items: DataFrame, threshold: float) -> DataFrame:
+def near_duplicate_pairs(items: DataFrame, threshold: float, digits: int = 3) -> DataFrame:
     """items: id, tokens (distinct). Pairs a < b with a Jaccard similarity of the threshold or
-    more. Pairs meet on a common token, those of one pair are counted, and sizes give the
-    union; pairs whose sizes rule the threshold out never meet."""
-    each = items.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    a, b = each.alias("a"), each.alias("b")
-    fits = (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
-    both = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & fits)
-    k = both.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("k"))
-    s = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return k.where(s >= threshold).select("a", "b", F.round(s, 3).alias("similarity"))
+    more, rounded.
+
+    Tokens are put in one order, rare first; two sets that reach the threshold share one of
+    the first n - ceil(threshold n) + 1 of either, so items meet on these alone and common words
+    pair almost none. What meets is checked by size, once per pair, before the sets are joined."""
+    each = items.where(F.size("tokens") > 0).select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    often = each.groupBy("w").agg(F.count("*").alias("df"))
+    ordered = each.join(often, "w").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ws"))
+    prefix = F.slice("ws", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
+    met = ordered.select("id", "n", F.explode(prefix).alias("w"))
+    a, b = met.alias("a"), met.alias("b")
+    fits = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    side = lambda c: items.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    k = F.size(F.array_intersect("ta", "tb"))
+    s = k / (F.size("ta") + F.size("tb") - k)
+    return both.where(s >= threshold).select("a", "b", F.round(s, digits).alias("similarity"))

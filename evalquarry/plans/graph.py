@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from evalquarry.plans.storage import saved
+
 #: Operator types and how many inputs each takes (least, most).
 ARITY = {"SOURCE": (0, 0), "FUSE": (2, None), "RERANK": (1, 1), "FILTER": (1, 1), "GATE": (1, 1), "BOOST": (1, 1), "EXPAND": (1, None), "TRANSFORM": (1, None), "GENERATE": (1, 1)}
 
@@ -110,10 +112,11 @@ Operator = Callable[[list[DataFrame], dict], DataFrame]
 
 
 def run(nodes: list[Node], registry: dict[str, Operator]) -> dict[str, DataFrame]:
-    """The output of every node over all queries, by id. Outputs that several nodes read are persisted."""
+    """The output of every node over all queries, by id. An output that several nodes read is
+    written to the shared folder, so none of them works it out again."""
     readers = Counter(i for n in nodes for i in n.inputs)
     out: dict[str, DataFrame] = {}
     for n in order(nodes):
         got = registry[n.params.get("operator", n.type)]([out[i] for i in n.inputs], n.params)
-        out[n.id] = got.persist() if readers[n.id] > 1 else got
+        out[n.id] = saved(got) if readers[n.id] > 1 else got
     return out
