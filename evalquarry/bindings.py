@@ -3,7 +3,8 @@
 Each binding is one SQL text that Spark and DuckDB both read, but for the dot product.
 V: a retrieval pipeline over vectors, as traces (runs A and B; B has no filter).
 L: benchmark items as queries over documents. T: events as traces of services.
-M: line items as a metric fact of two runs. G: links between neighbouring documents.
+M: line items as a metric fact of two runs. G: links between neighbouring documents. Q: labelled
+documents and conversations.
 """
 
 from __future__ import annotations
@@ -87,6 +88,9 @@ metrics AS (SELECT 'base' AS run_id, pipeline AS pipeline_id, CAST(ok AS STRING)
 _T = """
 t_spans AS (SELECT event_id, ts, concat('svc', CAST(user_id AS STRING)) AS service_id, event_type AS op_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status, value AS latency_ms, props FROM events)
 """
+_Q = """
+q_lab AS (SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
+"""
 _G = """
 edges AS (SELECT concat('d', CAST(doc_id AS STRING)) AS src, concat('d', CAST(nxt AS STRING)) AS dst, 'next' AS edge_type, 1e0 AS weight
   FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt FROM documents) t WHERE nxt IS NOT NULL)
@@ -100,15 +104,15 @@ def _v(dot: str, a16: str, b16: str) -> str:
 SPARK = {
     "V": _v(_SPARK_DOT, "slice(q.embedding, 1, 16)", "slice(e.embedding, 1, 16)"),
     "L": _L.replace("{explode_doc}", r"explode(split(lower(text), '[ \\t\\n\\r]+'))").replace("{explode_q}", r"SELECT item_id, pos, w FROM l_q LATERAL VIEW posexplode(split(lower(text), '[ \\t\\n\\r]+')) p AS pos, w"),
-    "M": _M, "T": _T, "G": _G,
+    "M": _M, "T": _T, "G": _G, "Q": _Q,
 }
 DUCK = {
     "V": _v(_DUCK_DOT, "q.embedding[1:16]", "e.embedding[1:16]"),
     "L": _L.replace("{explode_doc}", r"unnest(regexp_split_to_array(lower(text), '[ \t\n\r]+'))").replace(
         "{explode_q}", r"SELECT item_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM (SELECT item_id, regexp_split_to_array(lower(text), '[ \t\n\r]+') AS ws FROM l_q) z"),
-    "M": _M, "T": _T, "G": _G,
+    "M": _M, "T": _T, "G": _G, "Q": _Q,
 }
-_BASE = {"V": ["embeddings"], "L": ["benchmark", "documents"], "M": ["lineitem"], "T": ["events"], "G": ["documents"]}
+_BASE = {"V": ["embeddings"], "L": ["benchmark", "documents"], "M": ["lineitem"], "T": ["events"], "G": ["documents"], "Q": ["labels", "documents", "conversations"]}
 
 
 _kept: dict[tuple[str, str, str], DataFrame] = {}

@@ -1,3 +1,3 @@
-"""All registered queries, with the SQL that each is held against."""
+"""All queries by area; importing this registers them."""
 
-from evalquarry.catalog import comparing, evidence, files, more, retrieval, scalar, telemetry  # noqa: F401
+from evalquarry.catalog import comparing, evidence, files, more, retrieval, scalar, stores, telemetry  # noqa: F401

@@ -72,3 +72,56 @@ def resolved_conflicts(judgments: DataFrame, rule: str) -> DataFrame:
         return judgments.groupBy(*keys).agg(F.max("grade").alias("grade"), F.countDistinct("grade").alias("n")).select(*keys, F.when(F.col("n") == 1, F.col("grade")).otherwise(bad).alias("grade"))
     pick = {"max": F.max("grade"), "first": F.min_by("grade", "seq"), "last": F.max_by("grade", "seq")}[rule]
     return judgments.groupBy(*keys).agg(pick.alias("grade"))
+
+
+def beir(spark: SparkSession, folder: str, split: str = "test", k: int = 100, max_queries: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, corpus, judgments) of an unpacked collection: corpus.jsonl, queries.jsonl and
+    qrels/<split>.tsv. Judgments of grade 0 stay; queries without a judgment go."""
+    judged = spark.read.schema("`query-id` string, `corpus-id` string, score int").option("sep", "\t").option("header", True).csv(f"{folder}/qrels/{split}.tsv")
+    judged = judged.select(F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"), F.col("score").alias("grade"))
+    counts = judged.groupBy("query_id").agg(F.count_if(F.col("grade") > 0).alias("n_relevant"), F.count("*").alias("n_judged"))
+    q = json_lines(spark, f"{folder}/queries.jsonl", "_id string, text string").select(F.col("_id").alias("query_id"), "text").join(counts, "query_id").withColumn("k", F.lit(k))
+    c = json_lines(spark, f"{folder}/corpus.jsonl", "_id string, title string, text string").select(F.col("_id").alias("doc_id"), "title", "text")
+    return (q if max_queries is None else q.orderBy("query_id").limit(max_queries)), c, judged
+
+
+def in_memory(spark: SparkSession, queries_: list, corpus_: dict | list, qrels_: dict, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries (texts or mappings), corpus (texts by id, or mappings) and judgments by query as tables."""
+    from evalquarry.functions.identity import digest
+
+    rows = []
+    for q in queries_:
+        q = q if isinstance(q, dict) else {"text": str(q)}
+        rows.append((str(q.get("query_id", q.get("id", "q_" + digest(q["text"])[:10]))), q["text"], int(q.get("k", k))))
+    docs = list(corpus_.items()) if isinstance(corpus_, dict) else [(str(d.get("doc_id", d.get("id"))), d.get("text")) for d in corpus_]
+    judged = [(str(q), str(d), g) for q, got in qrels_.items() for d, g in (got.items() if isinstance(got, dict) else ((x, 1) for x in got))]
+    return (
+        spark.createDataFrame(rows, "query_id string, text string, k int"), spark.createDataFrame([(str(i), t) for i, t in docs], "doc_id string, text string"),
+        spark.createDataFrame(judged, "query_id string, doc_id string, grade int"),
+    )
+
+
+def inputs(spark: SparkSession, queries_path: str, corpus_path: str, qrels_path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of an evaluation; without a judgment file those in the query file."""
+    q, inline = queries(spark, queries_path)
+    return q, corpus(spark, corpus_path), inline if qrels_path is None else qrels(spark, qrels_path)
+
+
+def edges(spark: SparkSession, path: str) -> DataFrame:
+    """Typed edges between documents; without a weight 1."""
+    rows = json_lines(spark, path, "src string, dst string, type string, weight double")
+    return rows.select("src", "dst", F.col("type").alias("edge_type"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
+def placed(rows: DataFrame, *order: object, name: str = "place") -> DataFrame:
+    """Few rows (runs, operators, pages) with their place in an order."""
+    from pyspark.sql import Window
+
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+def decoded(rows: DataFrame, column: str, *ids: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the JSON as a variant, rows whose JSON can't be read with their ids): one
+    broken trace doesn't stop the rest, and is not lost."""
+    tried = rows.withColumn("payload", F.try_parse_json(column))
+    return tried.where("payload is not null").drop(column), tried.where("payload is null").drop("payload").withColumn("problem", F.concat_ws(" ", F.lit("unreadable"), *(F.col(i).cast("string") for i in ids)))
