@@ -28,9 +28,11 @@ def J01_paired_join(ev: Evidence) -> DataFrame:
     return C.paired(*_runs(ev)).groupBy(*KEY).agg(F.count("*").alias("n"), r("before").alias("mean_before"), r("after").alias("mean_after"), r("delta").alias("effect"))
 
 
-@on("M", "SELECT query_id, value FROM metrics WHERE run_id = 'base' AND pipeline_id = 'A' AND stage_index = 1")
+@on("M", "SELECT pipeline_id, stage_index, query_id, value FROM metrics WHERE run_id = 'base'")
 def J02_scores_by_query(ev: Evidence) -> DataFrame:
-    return _runs(ev)[0].where("pipeline_id = 'A' and stage_index = 1").select("query_id", "value")
+    """Of every key the value of each query; of rows that repeat one the last stays."""
+    rows = _runs(ev)[0].withColumn("seq", F.lit(1))
+    return rows.unionByName(rows.withColumns({"seq": F.lit(0), "value": F.lit(9.0)})).groupBy(*KEY, "query_id").agg(F.max_by("value", "seq").alias("value")).select("pipeline_id", "stage_index", "query_id", "value")
 
 
 @on("M", """SELECT pipeline_id, stage_index, metric_name, k, count(DISTINCT query_id) AS attempted, count(DISTINCT query_id) FILTER (run_id = 'cand') AS paired, 0 AS missing_base,
@@ -39,14 +41,20 @@ def J03_pair_coverage(ev: Evidence) -> DataFrame:
     return C.coverage(*_runs(ev), KEY).withColumn("coverage", F.round("coverage", 6))
 
 
-@on("M", "SELECT DISTINCT query_id FROM metrics WHERE run_id = 'base' AND stage_index = 2 AND value > 0.09")
+@on("M", "SELECT DISTINCT query_id FROM metrics b WHERE run_id = 'base' AND NOT EXISTS (SELECT 1 FROM metrics c WHERE c.run_id = 'cand' AND c.query_id = b.query_id)")
 def J04_failed_queries(ev: Evidence) -> DataFrame:
-    return C.failed_queries(_runs(ev)[0].where("stage_index = 2 and value > 0.09").withColumn("metric_name", F.lit("failure")))
+    """Indicators: 1 for a query of the base run that the candidate has no value of."""
+    base, cand = (m.select("query_id").distinct() for m in _runs(ev))
+    ind = base.join(cand.withColumn("there", F.lit(1)), "query_id", "left").select("query_id", F.lit("failure").alias("metric_name"), F.when(F.col("there").isNull(), 1.0).otherwise(0.0).alias("value"))
+    return C.failed_queries(ind)
 
 
-@on("M", "SELECT 'a' AS parent, 'a__b' AS child UNION ALL SELECT 'a__b', 'a__b__c'")
+@on("M", """, ids AS (SELECT DISTINCT pipeline_id || CASE WHEN stage_index <= 1 THEN '' WHEN stage_index = 2 THEN '__2' ELSE '__2__' || stage_index END AS id FROM metrics)
+SELECT p.id AS parent, c.id AS child FROM ids c JOIN ids p ON length(c.id) > length(p.id) AND starts_with(c.id, p.id || '__') AND NOT contains(substr(c.id, length(p.id) + 3), '__')""")
 def J05_prefix_pairs(ev: Evidence) -> DataFrame:
-    return C.prefix_pairs(ev.spark.createDataFrame([("a",), ("a__b",), ("a__b__c",), ("x__y",)], "pipeline_id string"))
+    stage = F.col("stage_index")
+    name = F.concat("pipeline_id", F.when(stage <= 1, "").when(stage == 2, "__2").otherwise(F.concat(F.lit("__2__"), stage.cast("string"))))
+    return C.prefix_pairs(ev("metrics").select(name.alias("pipeline_id")).distinct())
 
 
 @on("M", f"{_PAIRS} SELECT pipeline_id, stage_index, query_id, round(delta, 6) AS delta FROM pr ORDER BY abs(delta) DESC, pipeline_id, stage_index, metric_name, k, query_id LIMIT 50")
@@ -75,14 +83,16 @@ def P01_bh_correction(ev: Evidence) -> DataFrame:
 @on("M", f"""{_TESTS}, dc AS (SELECT bh.pipeline_id, bh.stage_index, n, round(mean_before, 6) AS mean_before, round(effect, 6) AS effect, 0.01 AS threshold, round(q, 6) AS q,
   CASE WHEN n < 20 THEN 'insufficient_pairs' WHEN coverage < 0.95 THEN 'pair_coverage' WHEN q >= 0.05 THEN 'not_significant' WHEN abs(effect) < 0.01 THEN 'below_threshold' ELSE 'significant' END AS reason, effect AS e FROM bh JOIN cv USING (pipeline_id, stage_index))
 SELECT pipeline_id, stage_index, n, mean_before, effect, threshold, q, reason, CASE WHEN reason <> 'significant' THEN 'no_decision' WHEN e > 0 THEN 'candidate_better' ELSE 'candidate_worse' END AS decision FROM dc""")
-def P06_paired_comparison(ev: Evidence) -> DataFrame:
+def P06_large_sample_comparison(ev: Evidence) -> DataFrame:
+    """The approximation for runs too large to resample: a normal test in one aggregation."""
     t = _tests(ev).join(C.coverage(*_runs(ev), KEY).select(*KEY, "coverage"), KEY)
     out = C.decisions(t)
     return out.select("pipeline_id", "stage_index", "n", *(F.round(c, 6).alias(c) for c in ("mean_before", "effect", "threshold", "q")), "reason", "decision")
 
 
 @on("M", f"""{_TESTS} SELECT pipeline_id, stage_index, CASE WHEN effect - 1.96 * se >= -0.02 THEN 'PASS' WHEN effect + 1.96 * se < -0.02 THEN 'FAIL' ELSE 'HOLD' END AS status FROM bh""")
-def P07_guard_intervals(ev: Evidence) -> DataFrame:
+def P07_large_sample_guards(ev: Evidence) -> DataFrame:
+    """Guards on normal intervals, the approximation for large runs."""
     low, high = F.col("effect") - 1.96 * F.col("se"), F.col("effect") + 1.96 * F.col("se")
     return _tests(ev).select("pipeline_id", "stage_index", C.interval_status(low, high, F.lit(0.02), C.lower_is_better(F.col("metric_name"))).alias("status"))
 
@@ -92,6 +102,19 @@ def P03_sign_flip_test(ev: Evidence) -> DataFrame:
     return C.resampled(C.paired(*_runs(ev)), KEY)
 
 
+@on("M")
+def P06_paired_comparison(ev: Evidence) -> DataFrame:
+    """Sign-flip p-values, corrected over all keys, and the ladder of decisions."""
+    return C.compared(*_runs(ev))
+
+
+@on("M")
+def P07_guard_intervals(ev: Evidence) -> DataFrame:
+    """Guards on the interval of the paired bootstrap."""
+    r = C.resampled(C.paired(*_runs(ev)), KEY)
+    return r.select("pipeline_id", "stage_index", C.interval_status(F.col("low"), F.col("high"), F.lit(0.02), C.lower_is_better(F.col("metric_name"))).alias("status"))
+
+
 @on("M", f"""{_PAIRS} SELECT pipeline_id, stage_index, query_id, place, round(delta, 6) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_id, stage_index ORDER BY delta, query_id) AS place FROM pr WHERE delta < 0) WHERE place <= 20""")
 def W13_affected_queries(ev: Evidence) -> DataFrame:
     return C.affected_queries(C.paired(*_runs(ev)), ["pipeline_id", "stage_index"]).select("pipeline_id", "stage_index", "query_id", "place", F.round("delta", 6).alias("delta"))
@@ -123,12 +146,6 @@ def A15_query_winners(ev: Evidence) -> DataFrame:
     return deep.withColumn("r", best).where("r = 1").select("query_id", F.col("pipeline_id").alias("winner"), F.round("value", 6).alias("value"))
 
 
-@on("M", "SELECT pipeline_id, stage_index, round(m, 6) AS mean FROM (SELECT pipeline_id, stage_index, avg(value) AS m FROM metrics WHERE run_id = 'cand' GROUP BY 1, 2) ORDER BY round(m, 6) DESC, stage_index, pipeline_id LIMIT 1")
-def A16_headline_winner(ev: Evidence) -> DataFrame:
-    m = _runs(ev)[1].groupBy("pipeline_id", "stage_index").agg(F.round(F.avg("value"), 6).alias("mean"))
-    return m.orderBy(F.desc("mean"), "stage_index", "pipeline_id").limit(1)
-
-
 _POINTS = """, pt AS (SELECT concat(pipeline_id, '-', stage_index) AS id, round(avg(value) FILTER (run_id = 'base'), 6) AS quality, round(avg(value) FILTER (run_id = 'cand'), 6) AS cost FROM metrics GROUP BY 1)"""
 
 
@@ -142,19 +159,12 @@ def A35_pareto_frontier(ev: Evidence) -> DataFrame:
     return C.pareto(_points(ev), "quality", "cost")
 
 
-@on("M", f"{_POINTS} SELECT a.id AS a, b.id AS b, abs(a.quality - b.quality) <= 0.002 AS overlap FROM pt a JOIN pt b ON a.id < b.id")
-def A36_interval_overlap(ev: Evidence) -> DataFrame:
-    p = _points(ev).select("id", "quality")
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.abs(F.col("a.quality") - F.col("b.quality")) <= 0.002).alias("overlap"))
-
-
 @on("M", f"""{_TESTS}, s AS (SELECT CASE WHEN effect - 1.96 * se >= -0.02 THEN 0 WHEN effect + 1.96 * se < -0.02 THEN 2 ELSE 1 END AS sev FROM bh)
 SELECT CASE max(sev) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'HOLD' ELSE 'PASS' END AS decision, count(*) AS checks FROM s""")
 def G08_release_decision(ev: Evidence) -> DataFrame:
     from evalquarry.operators.release import decide
 
-    return decide(P07_guard_intervals(ev))
+    return decide(P07_large_sample_guards(ev))
 
 
 @on("M", """, a AS (SELECT DISTINCT query_id FROM metrics WHERE run_id = 'base' AND ok % 7 = 3), b AS (SELECT DISTINCT query_id FROM metrics WHERE run_id = 'cand' AND ok % 7 = 3)

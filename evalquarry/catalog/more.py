@@ -105,10 +105,21 @@ def J23_lineage_diff(ev: Evidence) -> DataFrame:
     return j.select("query_id", "candidate_id", F.when(F.col("b").isNull(), "surfaced").when(F.col("a").isNull(), "dropped").when(F.col("a") != F.col("b"), "rank_changed").otherwise("retained").alias("change"))
 
 
-@on("V", "SELECT doc_id, rank, score, score - lag(score) OVER w AS step FROM cands WHERE trace_id = 'A-0' AND side = 'out' AND op_id = 'dense' WINDOW w AS (ORDER BY rank)")
+@on("V", "SELECT trace_id, op_id, doc_id, rank, round(score - lag(score) OVER w, 6) AS step FROM cands WHERE side = 'out' AND run_id = 'A' WINDOW w AS (PARTITION BY trace_id, op_id ORDER BY rank)")
 def W06_score_steps(ev: Evidence) -> DataFrame:
-    w = Window.partitionBy("trace_id").orderBy("rank")
-    return ev("cands").where("trace_id = 'A-0' and side = 'out' and op_id = 'dense'").select("doc_id", "rank", "score", (F.col("score") - F.lag("score").over(w)).alias("step"))
+    w = Window.partitionBy("trace_id", "op_id").orderBy("rank")
+    return ev("cands").where("side = 'out' and run_id = 'A'").select("trace_id", "op_id", "doc_id", "rank", F.round(F.col("score") - F.lag("score").over(w), 6).alias("step"))
+
+
+@on("V", """, ev AS (SELECT trace_id, doc_id, span_idx, op_id, count(*) FILTER (side = 'in') AS i, count(*) FILTER (side = 'out') AS o FROM cands WHERE doc_id IN (SELECT doc_id FROM qrels WHERE grade = 2) GROUP BY 1, 2, 3, 4)
+SELECT trace_id, doc_id, string_agg(op_id || ':' || CASE WHEN o > 0 AND i > 0 THEN 'passed' WHEN o > 0 THEN 'introduced' ELSE 'dropped' END, ' ' ORDER BY span_idx) AS history FROM ev GROUP BY 1, 2""")
+def W06_candidate_history(ev: Evidence) -> DataFrame:
+    """What became of each document that some query judges best, step by step, in every trace."""
+    best = ev("qrels").where("grade = 2").select("doc_id").distinct()
+    each = ev("cands").join(best, "doc_id", "left_semi").groupBy("trace_id", "doc_id", "span_idx", "op_id").agg(F.count_if(F.col("side") == "in").alias("i"), F.count_if(F.col("side") == "out").alias("o"))
+    kind = F.when((F.col("o") > 0) & (F.col("i") > 0), "passed").when(F.col("o") > 0, "introduced").otherwise("dropped")
+    steps = F.array_sort(F.collect_list(F.struct("span_idx", F.concat("op_id", F.lit(":"), kind).alias("s"))))
+    return each.groupBy("trace_id", "doc_id").agg(F.array_join(F.transform(steps, lambda x: x["s"]), " ").alias("history"))
 
 
 @on("V", """SELECT query_id, count(*) FILTER (run_id = 'A') > 0 AS in_a, count(*) FILTER (run_id = 'B' AND query_id <> 'q20') > 0 AS in_b FROM spans GROUP BY 1""")
@@ -124,9 +135,10 @@ def J28_expected_queries(ev: Evidence) -> DataFrame:
     return ev("spans").select("query_id").distinct().join(ev("qrels").where("grade = 2"), "query_id", "left_semi")
 
 
-@on("V", "SELECT op_id, max(span_idx) AS last_span, max(query_id) AS last_query FROM spans WHERE run_id = 'A' GROUP BY 1")
+@on("V", "SELECT trace_id, op_type AS operator_id, arg_max(op_id, span_idx) AS op_id, max(span_idx) AS span_idx FROM spans WHERE status = 'FIRED' GROUP BY 1, 2")
 def R43_latest_invocation(ev: Evidence) -> DataFrame:
-    return ev("spans").where("run_id = 'A'").groupBy("op_id").agg(F.max("span_idx").alias("last_span"), F.max_by("query_id", F.col("query_id")).alias("last_query"))
+    fired = ev("spans").where("status = 'FIRED'")
+    return fired.groupBy("trace_id", F.col("op_type").alias("operator_id")).agg(F.max_by("op_id", "span_idx").alias("op_id"), F.max("span_idx").alias("span_idx"))
 
 
 @on("V", "SELECT DISTINCT op_id, op_type, CASE WHEN op_type IN ('FUSE', 'FILTER', 'BOOST') OR (op_type = 'SOURCE' AND op_id = 'dense') THEN 'EXACT' ELSE 'NOT_REPLAYABLE' END AS replay FROM spans")
@@ -143,31 +155,12 @@ def N07_regression_check(ev: Evidence) -> DataFrame:
     return m.select("pipeline_id", F.round(F.col("cand") - F.col("base"), 6).alias("change"), N.regression_check(F.col("cand"), F.col("base"), "decrease", 0.005).alias("trips"))
 
 
-@on("M", "SELECT 'latency_ms' AS metric, true AS lower, 2.0 AS threshold UNION ALL SELECT 'cost', true, 2.0 UNION ALL SELECT 'ndcg', false, 0.01 UNION ALL SELECT 'profile_x', true, 2.0")
-def F21_effect_threshold(ev: Evidence) -> DataFrame:
-    d = ev.spark.createDataFrame([("latency_ms",), ("cost",), ("ndcg",), ("profile_x",)], "metric string")
-    return d.select("metric", C.lower_is_better(F.col("metric")).alias("lower"), C.effect_threshold(F.col("metric"), F.lit(40.0)).alias("threshold"))
-
-
 @on("M")
 def P02_bootstrap_ci(ev: Evidence) -> DataFrame:
     pairs = C.paired(C.of_run(ev("metrics"), "base"), C.of_run(ev("metrics"), "cand"))
     return C.resampled(pairs, C.KEY).select(*C.KEY, "effect", "low", "high")
 
 
-@on("M", "SELECT DISTINCT pipeline_id, stage_index, dense_rank() OVER (ORDER BY stage_index DESC, pipeline_id) AS tier FROM (SELECT DISTINCT pipeline_id, stage_index FROM metrics)")
-def W11_metric_key_ranking(ev: Evidence) -> DataFrame:
-    keys = ev("metrics").select("pipeline_id", "stage_index").distinct()
-    return keys.withColumn("tier", F.dense_rank().over(Window.orderBy(F.desc("stage_index"), "pipeline_id")))
-
-
-@on("M", """, s AS (SELECT pipeline_id, stage_index, avg(value) AS m FROM metrics WHERE run_id = 'base' GROUP BY 1, 2)
-SELECT pipeline_id, stage_index, round(lead(m) OVER (PARTITION BY pipeline_id ORDER BY stage_index) - m, 6) AS contribution FROM s""")
-def W19_stage_contributions(ev: Evidence) -> DataFrame:
-    s = ev("metrics").where("run_id = 'base'").groupBy("pipeline_id", "stage_index").agg(F.avg("value").alias("m"))
-    return s.select("pipeline_id", "stage_index", F.round(F.lead("m").over(Window.partitionBy("pipeline_id").orderBy("stage_index")) - F.col("m"), 6).alias("contribution"))
-
-
 @on("V", "SELECT trace_id, query_id, doc_id, rank FROM cands WHERE op_id = 'select' AND side = 'out' AND query_id = 'q0' AND run_id = 'A' ORDER BY rank LIMIT 6")
 def I06_one_query(ev: Evidence) -> DataFrame:
     c = store.where_equal(ev("cands"), op_id="select", side="out", query_id="q0", run_id="A", doc_id=None)

@@ -39,10 +39,15 @@ def F16_token_sets(ev: Evidence) -> DataFrame:
     return ev("benchmark").select("item_id", F.size(X.token_set(F.col("text"))).cast("bigint").alias("n"))
 
 
-@on("L", f"{_SETS} SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) * 1e0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 3) AS similarity FROM st a JOIN st b ON a.item_id < b.item_id WHERE len(list_intersect(a.s, b.s)) * 1e0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.2")
+_DOCSETS = r""", st AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS s FROM documents WHERE text IS NOT NULL),
+tk AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM st), k AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM tk a JOIN tk b ON a.w = b.w AND a.doc_id < b.doc_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY ALL)"""
+
+
+@on("L", f"{_DOCSETS} SELECT a, b, round(k * 1e0 / (na + nb - k), 3) AS similarity FROM k WHERE k * 1e0 / (na + nb - k) >= 0.8")
 def J25_near_duplicate_queries(ev: Evidence) -> DataFrame:
-    q = ev("benchmark").select(F.col("item_id").alias("id"), X.token_set(F.col("text")).alias("tokens"))
-    return near_duplicate_pairs(q, 0.2)
+    """Of texts as long as documents, of which there are copies."""
+    q = ev("documents").where("text is not null").select(F.col("doc_id").alias("id"), X.token_set(F.col("text")).alias("tokens"))
+    return near_duplicate_pairs(q, 0.8)
 
 
 @on("M", """SELECT DISTINCT concat(pipeline_id, '|stage', stage_index, '|recall@10') AS key, pipeline_id AS pipeline, stage_index AS stage, 'recall' AS metric, 10 AS k, CAST(NULL AS VARCHAR) AS branch FROM metrics""")
@@ -62,10 +67,12 @@ def A34_file_validation(ev: Evidence) -> DataFrame:
     return d.agg(F.count("*").alias("documents"), F.countDistinct(F.sha2("text", 256)).alias("texts"), F.count_if(F.trim("text") == "").alias("empty_texts"), (F.count("*") - F.countDistinct("doc_id")).alias("repeated_ids"))
 
 
-@on("L", """SELECT 'nfcorpus' AS raw, 'beir/nfcorpus' AS name UNION ALL SELECT ' SciFact ', 'beir/scifact' UNION ALL SELECT 'Mine', 'mine'""")
+@on("Q", """, r AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN ' NFCorpus ' WHEN 1 THEN 'fiqa' WHEN 2 THEN ' ' || upper(source) ELSE 'beir/' || source END AS raw FROM documents)
+SELECT raw, CASE WHEN lower(trim(raw)) IN ('nfcorpus', 'fiqa') THEN 'beir/' || lower(trim(raw)) ELSE lower(trim(raw)) END AS name FROM r""")
 def F28_dataset_names(ev: Evidence) -> DataFrame:
-    d = ev.spark.createDataFrame([("nfcorpus",), (" SciFact ",), ("Mine",)], "raw string")
-    return d.select("raw", X.dataset_name(F.col("raw")).alias("name"))
+    n = F.col("doc_id") % 4
+    raw = F.when(n == 0, " NFCorpus ").when(n == 1, "fiqa").when(n == 2, F.concat(F.lit(" "), F.upper("source"))).otherwise(F.concat(F.lit("beir/"), "source"))
+    return ev("documents").select(raw.alias("raw")).distinct().select("raw", X.dataset_name(F.col("raw")).alias("name"))
 
 
 @on("L", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'kb' ELSE 'default' END AS namespace, CAST(item_id AS VARCHAR) AS entity_id FROM benchmark")

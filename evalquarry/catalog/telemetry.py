@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalquarry.bindings import Evidence
+from evalquarry.plans.storage import shared_folder
 from evalquarry.registry import on
 from evalquarry.sources import store
 from evalquarry.streaming import ingest
@@ -79,18 +82,45 @@ def S29_span_attributes(ev: Evidence) -> DataFrame:
 
 @on("T", "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_us, op_id, count(*) AS n, count(*) FILTER (status = 'ERROR') AS errors, round(sum(latency_ms), 4) AS total_ms FROM t_spans GROUP BY 1, 2")
 def T01_streaming_windows(ev: Evidence) -> DataFrame:
-    """The events as a stream, in complete mode: the windows equal those of a batch."""
-    spark = ev.spark
-    from evalquarry.plans.storage import shared_folder
-    import uuid
-
-    root = f"{shared_folder(spark)}/evalquarry/stream-{uuid.uuid4().hex}"
+    """The events as a stream whose changed windows go to files batch by batch; the newest of
+    each window equals that of a batch."""
+    path = f"{shared_folder(ev.spark)}/evalquarry/stream-{uuid.uuid4().hex}"
     src = ev("t_spans").select(F.col("ts").cast("timestamp").alias("ts"), "op_id", "status", "latency_ms")
-    src.repartition(4).write.parquet(f"{root}/in")
-    stream = ingest.windowed(ingest.read(spark, f"{root}/in", src.schema, 2), "ts", "1 hour", "2 hours", "op_id")
-    name = f"w_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.unix_micros("window_start").alias("window_us"), "op_id", "n", "errors", F.round("total_ms", 4).alias("total_ms"))
+    src.repartition(4).write.parquet(f"{path}/in")
+    stream = ingest.windowed(ingest.read(ev.spark, f"{path}/in", src.schema, 2), "ts", "1 hour", "60 days", "op_id")
+    ingest.sink(stream, f"{path}/out", f"{path}/state", mode="update").awaitTermination()
+    rows = store.latest(ev.spark.read.parquet(f"{path}/out"), ["window_start", "op_id"], "batch")
+    return rows.select(F.unix_micros("window_start").alias("window_us"), "op_id", "n", "errors", F.round("total_ms", 4).alias("total_ms"))
+
+
+@on("T", "SELECT op_id, count(*) AS n FROM t_spans GROUP BY 1")
+def T02_retrying_export(ev: Evidence) -> DataFrame:
+    """An export whose first try of each batch fails after it wrote; the next try replaces it."""
+    path = f"{shared_folder(ev.spark)}/evalquarry/stream-{uuid.uuid4().hex}"
+    src = ev("t_spans").select("event_id", "op_id")
+    src.repartition(3).write.parquet(f"{path}/in")
+    failed: set[int] = set()
+
+    def flaky(number: int) -> None:
+        if number not in failed:
+            failed.add(number)
+            raise ConnectionError("try again")
+
+    ingest.sink(ingest.read(ev.spark, f"{path}/in", src.schema, 1), f"{path}/out", f"{path}/state", tries=3, after=flaky).awaitTermination()
+    return ev.spark.read.parquet(f"{path}/out").groupBy("op_id").agg(F.count("*").alias("n"))
+
+
+@on("T", "SELECT service_id, count(*) AS accepted, count(*) FILTER (status = 'OK') AS exported, count(*) FILTER (status = 'ERROR') AS dropped_error, max(event_id) AS high_water FROM t_spans GROUP BY 1")
+def A39_health_counters(ev: Evidence) -> DataFrame:
+    return ev("t_spans").groupBy("service_id").agg(F.count("*").alias("accepted"), F.count_if(F.col("status") == "OK").alias("exported"), F.count_if(F.col("status") == "ERROR").alias("dropped_error"), F.max("event_id").alias("high_water"))
+
+
+@on("T", "SELECT service_id, op_id, min(event_id) AS event_id FROM t_spans GROUP BY 1, 2")
+def W24_first_trace_per_key(ev: Evidence) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("service_id", "op_id").orderBy("event_id"))
+    return ev("t_spans").withColumn("n", n).where("n = 1").select("service_id", "op_id", "event_id")
 
 
 @on("T")

@@ -9,9 +9,11 @@ import math
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalquarry.plans.shipping import ship
+
 
 def plain(value: Any) -> Any:
     """A value as JSON holds it: no minus zero, keys as text, sets in order; NaN and infinity are errors."""
@@ -45,11 +47,13 @@ def query_identity(query_id: str, text: str, filters: Mapping | None = None, met
 
 def canonical_json(payload: Column) -> Column:
     """Canonical JSON of a JSON text."""
+    ship(SparkSession.active())
     return F.udf(lambda s: None if s is None else canonical(json.loads(s)), "string", useArrow=True)(payload)
 
 
 def query_identities(queries: DataFrame) -> DataFrame:
     """queries: query_id, text. Adds identity."""
+    ship(queries.sparkSession)
     f = F.udf(lambda q, t: query_identity(q, t or ""), "string", useArrow=True)
     return queries.withColumn("identity", f(F.col("query_id").cast("string"), "text"))
 

@@ -86,3 +86,24 @@ def grade(answer: Column) -> Column:
 def redacted(payload: Column, keys: list[str], limit: int) -> Column:
     """A string map without the values of some keys and with the others cut to a length."""
     return F.transform_values(payload, lambda k, v: F.when(F.lower(k).isin([x.lower() for x in keys]), "[REDACTED]").otherwise(F.left(v, F.lit(limit))))
+
+
+def instant(text: Column) -> Column:
+    """ISO-8601 with Z or an offset as a timestamp; null if it can't be read."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
+def same_typed(value: Column, path: str, want: bool | int | str) -> Column:
+    """Whether a variant holds the value in its own type: 1, "1" and true are three values."""
+    kind = "BOOLEAN" if isinstance(want, bool) else "BIGINT" if isinstance(want, int) else "STRING"
+    inner = F.try_variant_get(value, path, "variant")
+    return F.coalesce((F.schema_of_variant(inner) == kind) & (F.try_variant_get(value, path, kind.lower()) == F.lit(want)), F.lit(False))
+
+
+def label_coverage(labelled: Column, attempted: Column) -> Column:
+    """Share of attempted queries with a label, at most 1; unknown without attempts."""
+    return F.when(attempted > 0, F.least(labelled / attempted, F.lit(1.0)))
+
+
+def dropped_rate(accepted: Column, dropped: Column) -> Column:
+    return F.try_divide(dropped, accepted + dropped)

@@ -131,3 +131,10 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int, edge_type: str | No
         front = saved(near.join(seen, "doc_id", "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.union(front)
     return seen
+
+
+def contract(have: Column, want: Column) -> Column:
+    """The state of an analysis and its coverage: ready with all of its evidence, partial with
+    some, unavailable (and no coverage of nothing) without."""
+    share = F.when(want > 0, have / want)
+    return F.struct(F.when((want == 0) | (have == 0), "unavailable").when(have < want, "partial").otherwise("ready").alias("state"), share.alias("coverage"))

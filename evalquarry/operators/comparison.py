@@ -6,6 +6,7 @@ branch_id): value. Two runs are paired by query and key; a null branch equals a
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalquarry.plans.shipping import ship
+
 KEY = ["pipeline_id", "stage_index", "metric_name", "k"]
 
 
@@ -135,6 +138,7 @@ def effect_ci(before: list[float], after: list[float], resamples: int = 1000, le
 
 def resampled(pairs: DataFrame, keys: list[str], resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """p value and interval of each key's pairs, whose number is that of the queries."""
+    ship(pairs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -168,6 +172,67 @@ def decisions(tests: DataFrame, alpha: float = 0.05, min_power: int = 20, min_co
     return tests.withColumn("threshold", need).withColumn("reason", reason).withColumn("decision", decision)
 
 
+def compared(base: DataFrame, cand: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """Per key: n, means, effect, sign-flip p, q over all keys, coverage, threshold, reason and decision."""
+    pairs = paired(base, cand)
+    means = pairs.groupBy(*KEY).agg(F.count("*").alias("n"), F.avg("before").alias("mean_before"), F.avg("after").alias("mean_after"), F.avg("delta").alias("effect"))
+    p = resampled(pairs, KEY, resamples, seed).select(*KEY, F.col("p_value").alias("p"))
+    tests = means.join(p, KEY).join(coverage(base, cand, KEY).select(*KEY, "coverage"), KEY).withColumn("key", F.concat_ws("|", *KEY))
+    return decisions(benjamini_hochberg(tests, "p", "key")).drop("key")
+
+
+def effects(pairs: DataFrame, keys: list[str], estimators: tuple[str, ...] = ("mean", "p50", "p95"), resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Effect and interval of each estimator by resampling pairs; a key's pairs, as many as a run
+    has queries, are one group."""
+    ship(pairs.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("query_id")
+        out = []
+        for e in estimators:
+            effect, low, high = effect_ci(g["before"].tolist(), g["after"].tolist(), resamples, level, seed, e)
+            out.append({**{k: g[k].iloc[0] for k in keys}, "estimator": e, "effect": effect, "low": low, "high": high})
+        return pd.DataFrame(out)
+
+    return pairs.select(*keys, "query_id", "before", "after").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", estimator string, effect double, low double, high double")
+
+
+def poisson_bootstrap(rows: DataFrame, keys: list[str], resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """rows: keys, query_id, value, in any number. Mean and interval of a bootstrap whose draws
+    are Poisson weights hashed from query and resample: every task sums its own rows for all
+    resamples, so a group of any size is split, and the result depends on no partitioning but
+    for the order of floating-point sums."""
+    ship(rows.sparkSession)
+    cdf = np.cumsum([np.exp(-1) / math.factorial(i) for i in range(12)])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    salts = np.random.default_rng(seed).integers(0, 1 << 63, resamples, dtype=np.int64).astype(np.uint64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, g in batch.groupby(keys, dropna=False):
+                total = sums.setdefault(key, np.zeros((2, resamples)))
+                h, v = g["h"].to_numpy(np.int64).view(np.uint64), g["value"].to_numpy(float)
+                for lo in range(0, len(h), 512):
+                    with np.errstate(over="ignore"):
+                        x = h[lo : lo + 512, None] ^ salts[None, :]
+                        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                        x ^= x >> np.uint64(31)
+                    w = np.searchsorted(cdf, (x >> np.uint64(11)).astype(float) / 2.0**53)
+                    total[0] += w.sum(0)
+                    total[1] += v[lo : lo + 512] @ w
+        for key, total in sums.items():
+            yield pd.DataFrame([{**dict(zip(keys, key, strict=True)), "w": total[0].tolist(), "s": total[1].tolist()}])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", w array<double>, s array<double>"
+    parts = rows.select(*keys, F.xxhash64("query_id").alias("h"), F.col("value").cast("double")).mapInPandas(run, schema)
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("w", "s")).alias("r", "z")).groupBy(*keys, "r").agg(F.sum("z.w").alias("w"), F.sum("z.s").alias("s")).withColumn("m", F.try_divide("s", "w"))
+    ends = each.groupBy(*keys).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"))
+    return rows.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("*").alias("n")).join(ends, keys)
+
+
 def interval_status(low: Column, high: Column, margin: Column, lower_better: Column) -> Column:
     """Non-inferiority: the worst end of the interval against the margin."""
     worst, best = F.when(lower_better, -high).otherwise(low), F.when(lower_better, -low).otherwise(high)

@@ -242,3 +242,11 @@ def loss_classes(cands: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     j = rows.where("judgment = 'relevant'").join(up, [*TRACE, "doc_id"], "left")
     cls = F.when(F.col("outcome") == "relevant_delivered", "delivered").when(F.col("in_window"), "destroyed").when(F.col("in_window").isNotNull(), "never_in_window").otherwise("never_surfaced")
     return j.select(*TRACE, "doc_id", cls.alias("loss_class"))
+
+
+def miss_table(rows: DataFrame) -> DataFrame:
+    """Journey rows with text in the words of a table of misses, and a preview of 160 characters."""
+    state = F.when(F.col("outcome") == "relevant_delivered", "survived").when(F.col("outcome") == "not_observed", "never_retrieved").when(F.col("outcome") == "insufficient_evidence", "unknown").otherwise("dropped")
+    at = F.when(F.col("outcome").isin("relevant_excluded", "retained_below_cutoff"), F.col("loss_boundary"))
+    preview = F.when(F.length("text") > 160, F.concat(F.left("text", F.lit(157)), F.lit("..."))).otherwise(F.col("text"))
+    return rows.withColumns({"state": state, "dropped_at": at, "preview": preview})

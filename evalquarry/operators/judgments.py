@@ -62,3 +62,12 @@ def content_hash(rows: DataFrame, *columns: str) -> DataFrame:
     d = F.sha2(F.to_json(F.struct(*columns)), 256)
     part = lambda i: F.sum(F.conv(F.substring(d, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string")
     return rows.agg(F.sha2(F.concat_ws("|", part(0), part(1), part(2), F.count("*").cast("string")), 256).alias("digest"))
+
+
+def in_namespace(qrels: DataFrame, chunk_map: DataFrame) -> DataFrame:
+    """Judgments (query_id, doc_id, grade) placed in the namespace where the map has their entity;
+    one in two namespaces is an error, one the map lacks stays in 'default'."""
+    spaces = chunk_map.groupBy(F.col("chunk_id").alias("doc_id")).agg(F.countDistinct("namespace").alias("n"), F.min("namespace").alias("space"))
+    wrong = F.raise_error(F.concat(F.col("doc_id"), F.lit(" is in several namespaces")))
+    j = qrels.join(spaces, "doc_id", "left")
+    return j.select("query_id", F.when(F.col("n") > 1, wrong).otherwise(F.coalesce("space", F.lit("default"))).alias("namespace"), F.col("doc_id").alias("entity_id"), "grade")

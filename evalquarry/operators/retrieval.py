@@ -281,3 +281,10 @@ def transition(inputs: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFr
     went = outputs.groupBy(*keys, "candidate_id").agg(F.min("rank").alias("output_rank"))
     state = F.when(F.col("input_rank").isNull(), "added").when(F.col("output_rank").isNull(), "dropped").otherwise("kept")
     return came.join(went, [*keys, "candidate_id"], "full_outer").withColumn("change", state)
+
+
+def coerced(item: Column) -> Column:
+    """The id of an item given as JSON: its own fields, a node's, or its metadata's; without one an error."""
+    paths = [f"$.{f}" for f in ("doc_id", "id", "node_id", "id_", "node.id", "node.node_id", "metadata.id")]
+    found = F.coalesce(*(F.get_json_object(item, p) for p in paths))
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("a candidate has no id: "), item)))

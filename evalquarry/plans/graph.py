@@ -120,3 +120,11 @@ def run(nodes: list[Node], registry: dict[str, Operator]) -> dict[str, DataFrame
         got = registry[n.params.get("operator", n.type)]([out[i] for i in n.inputs], n.params)
         out[n.id] = saved(got) if readers[n.id] > 1 else got
     return out
+
+
+def fused(sources: list[str], top_k: int | None = None, method: str = "rrf") -> Callable[[dict[str, Operator]], DataFrame]:
+    """A fan-in of two or more sources: given a registry, their fused lists."""
+    if len(sources) < 2 or method != "rrf":
+        raise GraphError("a fusion has two sources at least and the method rrf")
+    nodes = parse([{"id": s, "type": "SOURCE", "params": {"operator": s}} for s in sources] + [{"id": "fused", "type": "FUSE", "inputs": sources, "params": {"top_k": top_k}}])
+    return lambda registry: run(nodes, registry)["fused"]

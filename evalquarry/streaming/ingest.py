@@ -4,6 +4,9 @@ idempotent by batch id."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,13 +33,23 @@ def windowed(events: DataFrame, time: str, size: str, late: str, *keys: str) ->
     return out.select(F.col("w.start").alias("window_start"), *keys, "n", "errors", "total_ms")
 
 
-def sink(stream: DataFrame, folder: str, checkpoint: str):  # noqa: ANN201
-    """Append each batch below its own id, replacing what an earlier try of it left."""
+def sink(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append", tries: int = 1, pause: float = 0.0, after: Callable[[int], None] | None = None):  # noqa: ANN201
+    """Write each batch below its own id, replacing what an earlier try of it left. A try that
+    fails, in writing or in `after` (which gets the batch's id), is made again with growing pauses."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        for n in range(1, tries + 1):
+            try:
+                batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+                if after is not None:
+                    after(number)
+                return
+            except Exception:
+                if n == tries:
+                    raise
+                time.sleep(pause * 2 ** (n - 1))
+
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def kept(key: Column, rate: float) -> Column:
