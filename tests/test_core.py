@@ -1,6 +1,7 @@
 """Hand-computed values, exact enumerations, graph rules and plans."""
 
 import itertools
+import json
 import math
 import random
 
@@ -10,14 +11,17 @@ from pyspark.sql import functions as F
 
 import evalquarry.catalog  # noqa: F401
 from evalquarry.bindings import Evidence
+from evalquarry.functions import identity
 from evalquarry.functions import scalar as X
 from evalquarry.operators import comparison as C
 from evalquarry.operators import release
 from evalquarry.operators import retrieval as R
 from evalquarry.operators import scoring as S
-from evalquarry.plans import graph
+from evalquarry.operators import similarity
+from evalquarry.plans import config, evaluate, graph, observe
 from evalquarry.registry import ORACLE_SQL, QUERIES
-from evalquarry.sources import files, store
+from evalquarry.sources import external, files, store
+from evalquarry.sources.runstore import RunStore
 from evalquarry.streaming import ingest
 
 
@@ -200,3 +204,142 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 90
     share = ingest.sampled(spark.range(10_000).select(F.col("id").cast("string").alias("t")), "t", 0.25).count()
     assert 2_200 < share < 2_800
+
+
+def test_run_store(spark, tmp_path):
+    s = RunStore(spark, f"file://{tmp_path}/runs")
+    assert s.scan("qrels").count() == 0
+    rows = spark.createDataFrame([("A", "q", "d", 1), ("B", "q", "d", 2)], "run_id string, query_id string, doc_id string, grade int")
+    s.append("qrels", rows, key=["run_id", "query_id", "doc_id"])
+    s.append("qrels", rows.withColumn("grade", F.lit(9)).unionByName(spark.createDataFrame([("B", None, "e", 3)], rows.schema)), key=["run_id", "query_id", "doc_id"])
+    assert sorted((r["run_id"], r["doc_id"], r["grade"]) for r in s.scan("qrels").collect()) == [("A", "d", 1), ("B", "d", 2), ("B", "e", 3)]
+    s.replace("qrels", rows.where("run_id = 'B'").withColumn("grade", F.lit(0)))
+    assert sorted((r["run_id"], r["grade"]) for r in s.scan("qrels").collect()) == [("A", 1), ("B", 0)]
+    pairs = spark.createDataFrame([("A", "t", "x", 1)], "run_id string, trace_id string, doc_id string, n_events int")
+    total = spark.createDataFrame([("run", "A", 1)], "kind string, key string, pairs int")
+    s.project("A", "d1", pairs, total)
+    assert s.projected("A", "d1").count() == 1 and s.projected("A", "d2").count() == 0
+    s.append("projections", spark.createDataFrame([("A", "d1", "building", 9)], "run_id string, digest string, state string, version int"))
+    assert s.projected("A", "d1").count() == 0  # a replacement that hasn't been committed
+
+
+def test_policies_and_experiments():
+    good = {"schema_version": 3, "id": "p", "metrics": [{"id": "a", "metric": "recall"}, {"id": "b", "metric": "mrr"}], "slices": [{"id": "s", "field": "f", "value": 1, "checks": ["a"]}], "statistics": {"resamples": 4000}}
+    p = config.policy(json.dumps(good))
+    assert p.family == 3 and math.isclose(p.adjusted, 1 - 0.05 / 3) and p.digest == config.policy(json.dumps(dict(reversed(good.items())))).digest
+    for wrong in ({"extra": 1}, {"metrics": []}, {"id": "No"}, {"statistics": {"resamples": 100}}, {"metrics": [{"id": "a", "metric": "x", "direction": "up"}]}, {"slices": [{"id": "s", "field": "f", "value": 1, "checks": ["z"]}]}):
+        with pytest.raises((config.ConfigError, TypeError)):
+            config.policy(json.dumps(good | wrong))
+    with pytest.raises(config.ConfigError, match="position"):
+        config.policy(json.dumps({"schema_version": 2, "id": "p", "metrics": [{"metric": "a|stage2|recall@10"}]}))
+    with pytest.raises(config.ConfigError, match="subsequence"):
+        config.experiment(json.dumps({"name": "x", "combine": [{"type": "a"}, {"type": "b"}], "include": ["b__a"]}))
+    keys = {("p", -1, "recall", 10, None), ("p", 3, "recall", 10, None), ("p", 3, "mrr", 0, None)}
+    assert config.resolve_in_run(config.Check("c", "recall"), keys)[0] == "p|stage-1|recall@10"
+    assert config.resolve_in_run(config.Check("c", "mrr"), keys)[0] == "p|stage3|mrr@0"
+    assert config.outcome(config.validity([{}, {}])) == "invalid"
+
+
+def test_canonical_json():
+    assert identity.canonical({"b": [1, -0.0, {"y": None}], "a": {3, 1}}) == '{"a":[1,3],"b":[1,0.0,{"y":null}]}'
+    with pytest.raises(ValueError):
+        identity.canonical(float("nan"))
+    assert identity.query_identity("q", "t") == identity.query_identity("q", "t", {}, {}) != identity.query_identity("q", "t", {"k": 1})
+    assert identity.like_prefix("a_b%") == "a\\_b\\%%"
+
+
+def test_what_calls_return():
+    class Node:
+        node_id = 7
+
+    class Hit:
+        node, score = Node(), 0.5
+
+    assert external.normalised([Hit(), {"metadata": {"id": "m"}}, ("x", 2), "y"]) == [("7", 0.5), ("m", 0.5), ("x", 2.0), ("y", 0.25)]
+    with pytest.raises(ValueError, match="no id"):
+        external.normalised([{"text": "none"}])
+    tries = []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("again")
+        return "ok"
+
+    assert external.attempted(flaky, 3) == ("ok", 3, None)
+    assert external.attempted(lambda: (_ for _ in ()).throw(TimeoutError("late")), 3)[1:] == (1, "TIMEOUT: late")
+    assert external.imported("json:dumps")([1]) == "[1]"
+
+
+def test_recorder(spark):
+    trace = observe.Recorder("R")
+    step = trace.observe("SOURCE", "s")(lambda: lists(spark, "a", "b"))
+    step()
+    assert not trace.steps  # outside a scope
+    with trace.scope():
+        first, second = step(), step()
+        trace.observe("FUSE", "f")(lambda x, y: x)(first, second)
+        with pytest.raises(RuntimeError), trace.scope():
+            pass
+    assert [(s["op_id"], s["parents"]) for s in trace.spans()] == [("s", ""), ("s#2", ""), ("f", "s,s#2")]
+    assert trace.cands().where("op_id = 'f' and side = 'in'").count() == 4
+    good = spark.createDataFrame([("ndcg", 0.5), ("latency_ms", 10.0)], "metric_name string, mean double")
+    observe.no_regression(good, good)
+    with pytest.raises(AssertionError, match="ndcg"):
+        observe.no_regression(good, good.withColumn("mean", F.col("mean") - 0.1))
+
+
+def test_evaluation_refuses_missing_traces(spark):
+    ev = Evidence(spark, "/root/testdata/sf0.001", "V")
+    spans = ev("spans").where("not (run_id = 'B' and query_id = 'q20')")
+    with pytest.raises(ValueError, match="missing"):
+        evaluate.evaluate(spark, "unused", ev("cands"), spans, ev("qrels"), ev("embeddings").select(F.col("vec_id").cast("string").alias("doc_id")))
+
+
+def test_paired_comparison_equals_plain_python(spark):
+    r = random.Random(6)
+    rows = [(run, p, f"q{i}", 0, "ndcg", 10, round(r.random() + (0.2 if run == "cand" and p == "x" else 0), 3)) for run in ("base", "cand") for p in "xyz" for i in range(30) if run == "base" or i or p != "z"]
+    m = spark.createDataFrame(rows, "run_id string, pipeline_id string, query_id string, stage_index int, metric_name string, k int, value double")
+    got = {r_["pipeline_id"]: r_ for r_ in C.compared(C.of_run(m, "base"), C.of_run(m, "cand")).collect()}
+    value = {(run, p, q): v for run, p, q, *_, v in rows}
+    p_of = {}
+    for p in "xyz":
+        qs = sorted(q for run, x, q in value if run == "cand" and x == p)
+        p_of[p] = C.sign_flip_p([value["base", p, q] for q in qs], [value["cand", p, q] for q in qs])
+        assert got[p]["n"] == len(qs) and got[p]["p"] == p_of[p]
+    order = sorted(p_of, key=p_of.get)
+    for i, p in enumerate(order):
+        assert math.isclose(got[p]["q"], min(min(1.0, p_of[x] * 3 / (j + 1)) for j, x in enumerate(order) if j >= i))
+    assert got["x"]["decision"] == "candidate_better" and got["z"]["coverage"] == 29 / 30
+
+
+def test_poisson_bootstrap(spark):
+    r = random.Random(2)
+    rows = spark.createDataFrame([("g", f"q{i}", r.gauss(5, 2)) for i in range(800)], "key string, query_id string, value double")
+    one, two = (C.poisson_bootstrap(rows.repartition(n), ["key"], 400).first() for n in (1, 5))
+    assert all(math.isclose(one[c], two[c], rel_tol=1e-9) for c in ("mean", "low", "high"))
+    half = 1.96 * 2 / math.sqrt(800)
+    assert abs(one["mean"] - one["low"] - half) < 0.35 * half and abs(one["high"] - one["mean"] - half) < 0.35 * half
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    r = random.Random(4)
+    sets = [sorted(set(r.choices("abcdefghij", k=r.randint(0, 9)))) for _ in range(70)]
+    got = {(x["a"], x["b"]): x["similarity"] for x in similarity.near_duplicate_pairs(spark.createDataFrame(list(enumerate(sets)), "id int, tokens array<string>"), 0.6).collect()}
+    want = {(i, j): round(len(set(a) & set(b)) / len(set(a) | set(b)), 3) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a and b and len(set(a) & set(b)) >= 0.6 * len(set(a) | set(b))}
+    assert got == want and want
+
+
+def test_bm25_over_texts_equals_postings(spark, monkeypatch):
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice("ab cd ef gh ij kl".split()) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(60, None)]
+    words = [(q, w) for q in range(7) for w in r.choices("ab cd ef zz".split(), k=3)]
+    q = spark.createDataFrame(words, "query_id int, w string")
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    tokens = d.select("doc_id", F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    want = sorted((x["query_id"], x["doc_id"], x["score"], x["rank"]) for x in R.bm25(q, tokens, 5).collect())
+    for block in (20_000, 2):
+        monkeypatch.setattr(R, "BROADCAST_ROWS", block)
+        got = sorted((x["query_id"], x["doc_id"], x["score"], x["rank"]) for x in R.bm25_texts(q, d, 5).collect())
+        assert [(x[0], x[3]) for x in got] == [(x[0], x[3]) for x in want] and all(math.isclose(a[2], b[2], abs_tol=2e-6) for a, b in zip(got, want, strict=True))
+    assert R.bm25_texts(q, d.limit(0), 5).count() == 0 and R.bm25_texts(q.limit(0), d, 5).count() == 0
