@@ -93,7 +93,9 @@ SELECT concat('q', qid) AS query_id, concat('d', did) AS doc_id, round(score, 6)
   SELECT qid, did, score, 0 AS g, rank AS k FROM b UNION ALL SELECT qid, did, score * 0.9, 1, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.qid = n.qid AND b.did = n.did))""")
 def R12_expand(ev: Evidence) -> DataFrame:
     e = ev("embeddings").select(F.concat(F.lit("d"), "vec_id").alias("src"), F.concat(F.lit("d"), F.col("vec_id") + 1).alias("dst"))
-    return R.expand(_lists(ev, "dense").where("rank <= 5"), e).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    # nine tenths of six digits often end in a half: rounded as a product of doubles, not as a decimal
+    six = F.floor(F.col("score") * 1e6 + 0.5) / 1e6
+    return R.expand(_lists(ev, "dense").where("rank <= 5"), e).select("query_id", "doc_id", six.alias("score"), "rank")
 
 
 @on("V", "SELECT concat('q', qid) AS query_id, concat('d', did) AS doc_id, rank, CASE WHEN rank > 10 THEN 'truncated' END AS drop_reason FROM v_dense")

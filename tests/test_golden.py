@@ -5,6 +5,7 @@ import pytest
 from evalquarry.operators import diagnostics as D
 from evalquarry.operators import journeys as J
 
+#: The operators, lists, judgments and expected tables of the scenario that FIXTURES.md describes.
 OPS = [("dense", "SOURCE", ""), ("lexical", "SOURCE", ""), ("recency_filter", "FILTER", "lexical"), ("rerank@dense", "RERANK", "dense"), ("rerank@lexical", "RERANK", "recency_filter"),
        ("fuse", "FUSE", "rerank@dense,rerank@lexical"), ("expand_gate", "GATE", "fuse"), ("expand", "EXPAND", "expand_gate"), ("select", "TRANSFORM", "expand_gate,expand")]
 P1, P2, FAQ, LEGAL, NEWS, G1, G2, K1, T1 = "kb:doc-policy/1", "kb:doc-policy/2", "kb:doc-faq/1", "kb:doc-legal/1", "kb:doc-news/1", "kb:doc-guide/1", "kb:doc-guide/2", "kb:doc-1/1", "tickets:doc-1/1"
