@@ -9,6 +9,9 @@ documents and conversations.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from evalquarry.plans.storage import saved
@@ -131,6 +134,35 @@ def _state(spark: SparkSession, path: str) -> str:
     return "|".join([path, *sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in found)])
 
 
+#: Steps of V that several others read; each is written once.
+STORED = ("v_dense", "v_lex", "v_filter", "v_fuse", "v_expand")
+
+
+def _searched(ev: Evidence, name: str) -> DataFrame:
+    """The two sources of V, by the search operator: what the SQL's v_dense and v_lex say."""
+    from pyspark.sql import functions as F
+
+    from evalquarry.operators import retrieval as R
+
+    e = ev.tables["embeddings"]
+    q = e.where("vec_id % 20 = 0")
+    part = lambda df, name, n: df.select(F.col("vec_id").alias(name), (F.col("embedding") if n is None else F.slice("embedding", 1, n)).alias("embedding"))
+    named = lambda d: d.select(F.col("query_id").alias("qid"), F.col("doc_id").alias("did"), "score", "rank")
+    if name == "v_dense":
+        return named(R.dense(part(q, "query_id", None), part(e, "doc_id", None), top_k=50)).select("qid", "did", "score", F.col("score").alias("s"), "rank")
+    return similarity(ev, named(R.dense(part(q, "query_id", 16), part(e, "doc_id", 16), top_k=50))).select("qid", "did", "score", "s", "rank")
+
+
+def similarity(ev: Evidence, pairs: DataFrame) -> DataFrame:
+    """pairs (qid, did) with s, the inner product of their vectors, worked out for these pairs alone."""
+    from pyspark.sql import functions as F
+
+    e = ev.tables["embeddings"].select("vec_id", "embedding")
+    a, b = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe")), e.select(F.col("vec_id").alias("did"), F.col("embedding").alias("de"))
+    dot = F.expr(_SPARK_DOT.format(a="qe", b="de"))
+    return pairs.join(a, "qid").join(b, "did").withColumn("s", F.round(dot, 6)).drop("qe", "de")
+
+
 class Evidence:
     """The tables of a binding as DataFrames: ev = Evidence(spark, sf_dir, "V"); ev("cands").
 
@@ -141,20 +173,48 @@ class Evidence:
     def __init__(self, spark: SparkSession, sf_dir: str, binding: str) -> None:
         self.spark, self.sf_dir, self.binding = spark, sf_dir, binding
         self.tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _BASE[binding]}
-        self.text = SPARK[binding]
-        for t in self.tables:
-            self.text = self.text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
+        #: The binding's tables by name, each as the SQL behind it; what they read by its name in braces.
+        self.made: dict[str, str] = {}
+        given = [*self.tables, *(STORED if binding == "V" else ())]
+        for part in re.split(r",\n(?=\w+ AS \()", SPARK[binding].strip()):
+            name, _, sql = part.partition(" AS (")
+            for t in given:
+                sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+            self.made[name] = f"({sql}"
+
+    def _needs(self, name: str) -> list[str]:
+        """The tables that one reads, directly or not, in order."""
+        seen: list[str] = []
+
+        def visit(n: str) -> None:
+            for m in self.made:
+                if m not in seen and m != n and re.search(rf"\b(FROM|JOIN) {{?{m}\b", self.made[n]):
+                    visit(m)
+            if n not in seen:
+                seen.append(n)
+
+        visit(name)
+        return seen
+
+    def _query(self, name: str) -> DataFrame:
+        parts = [n for n in self._needs(name) if n not in STORED or n == name]
+        return self.spark.sql(f"WITH {', '.join(f'{n} AS {self.made[n]}' for n in parts)} SELECT * FROM {name}", **self.tables)
+
+    def _stored(self, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, _state(self.spark, f"{self.sf_dir}/embeddings.parquet"), name)
+        if key not in _kept:
+            _kept[key] = saved(made())
+        return _kept[key]
 
     def __call__(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
-        df = self.spark.sql(f"WITH {self.text} SELECT * FROM {name}", **self.tables)
         if self.binding != "V":
-            return df
-        key = (self.spark.sparkContext.applicationId, _state(self.spark, f"{self.sf_dir}/embeddings.parquet"), name)
-        if key not in _kept:
-            _kept[key] = saved(df)
-        return _kept[key]
+            return self._query(name)
+        for t in self._needs(name):
+            if t in STORED and t not in self.tables:
+                self.tables[t] = self._stored(t, lambda t=t: _searched(self, t) if t in ("v_dense", "v_lex") else self._query(t))
+        return self.tables[name] if name in self.tables else self._stored(name, lambda: self._query(name))
 
 
 def oracle(binding: str, query: str) -> str:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalquarry.bindings import Evidence
+from evalquarry.bindings import Evidence, similarity
 from evalquarry.catalog import evidence as E
 from evalquarry.catalog import retrieval as C
 from evalquarry.functions import identity as I
@@ -20,7 +20,6 @@ from evalquarry.plans.storage import shared_folder
 from evalquarry.registry import on
 from evalquarry.sources import external
 
-NUMBER = F.substring("doc_id", 2, 20).cast("long")
 
 
 def _n(c: str):  # noqa: ANN202
@@ -42,7 +41,7 @@ def R08_remote_rerank(ev: Evidence) -> DataFrame:
 
 @on("V", "SELECT concat('q', qid) AS query_id, concat('d', did) AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM v_dense WHERE did % 2 = 0")
 def R13_transform(ev: Evidence) -> DataFrame:
-    return R.transform(C._lists(ev, "dense"), lambda c: R.keep(c, NUMBER % 2 == 0)).select("query_id", "doc_id", "rank")
+    return R.transform(C._lists(ev, "dense"), lambda c: R.keep(c, _n("doc_id") % 2 == 0)).select("query_id", "doc_id", "rank")
 
 
 @on("V", "SELECT concat('q', qid) AS query_id, string_agg(concat('d', did), ' ' ORDER BY rank) AS answer FROM v_dense WHERE rank <= 3 GROUP BY 1")
@@ -61,11 +60,9 @@ def R15_named_executor(ev: Evidence) -> DataFrame:
 
 
 def _registry(ev: Evidence) -> dict:
-    s = ev("v_sim").select(F.concat(F.lit("q"), "qid").alias("query_id"), F.concat(F.lit("d"), "did").alias("doc_id"), "s")
-
     def rerank(inputs: list[DataFrame], params: dict) -> DataFrame:
-        c = inputs[0].drop("score").join(s, ["query_id", "doc_id"])
-        return R.ranked(c.withColumn("score", F.col("s")).drop("rank", "s"), F.desc("score"), NUMBER, top_k=params.get("k"))
+        c = similarity(ev, inputs[0].select("query_id", "doc_id", _n("query_id").alias("qid"), _n("doc_id").alias("did")))
+        return R.ranked(c.select("query_id", "doc_id", F.col("s").alias("score")), F.desc("score"), _n("doc_id"), top_k=params.get("k"))
 
     return {
         "dense": lambda inputs, params: C._lists(ev, "dense", "B"), "lexical": lambda inputs, params: C._lists(ev, "lexical", "B"),
@@ -140,8 +137,8 @@ def R21_single_stage(ev: Evidence) -> DataFrame:
 @on("V", """, a AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY did) AS rank FROM v_dense), b AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY did DESC) AS rank FROM a WHERE rank <= 20)
 SELECT concat('q', qid) AS query_id, concat('d', did) AS doc_id, CAST(rank AS INT) AS rank FROM b WHERE rank <= 5""")
 def R22_multi_stage(ev: Evidence) -> DataFrame:
-    one = R.rerank(C._lists(ev, "dense"), -NUMBER.cast("double"), top_k=20)
-    return R.rerank(one, NUMBER.cast("double"), top_k=5).select("query_id", "doc_id", "rank")
+    one = R.rerank(C._lists(ev, "dense"), -_n("doc_id").cast("double"), top_k=20)
+    return R.rerank(one, _n("doc_id").cast("double"), top_k=5).select("query_id", "doc_id", "rank")
 
 
 @on("V", f"""{_DEPTH} SELECT l.run_id, l.op_id, s.op_type, l.stage, count(DISTINCT e.parent) FILTER (e.parent <> '') AS inputs FROM lay l JOIN (SELECT DISTINCT run_id, op_id, op_type FROM spans) s USING (run_id, op_id) JOIN e USING (run_id, op_id) GROUP BY 1, 2, 3, 4""")
@@ -325,7 +322,7 @@ def R47_chunk_map_judgments(ev: Evidence) -> DataFrame:
 @on("V", "SELECT 'dense' AS op_id, 'out' AS side, '' AS parent, count(*) AS n FROM v_dense UNION ALL SELECT 'even', 'in', 'dense', count(*) FROM v_dense UNION ALL SELECT 'even', 'out', '', count(*) FROM v_dense WHERE did % 2 = 0 UNION ALL SELECT 'even#2', 'in', 'even', count(*) FROM v_dense WHERE did % 2 = 0 UNION ALL SELECT 'even#2', 'out', '', count(*) FROM v_dense WHERE did % 2 = 0")
 def T05_observed_steps(ev: Evidence) -> DataFrame:
     trace = Recorder("X")
-    even = trace.observe("FILTER", "even")(lambda df: df.where(NUMBER % 2 == 0))
+    even = trace.observe("FILTER", "even")(lambda df: df.where(_n("doc_id") % 2 == 0))
     with trace.scope():
         even(even(trace.observe("SOURCE", "dense")(lambda: C._lists(ev, "dense"))()))
     return trace.cands().groupBy("op_id", "side", F.coalesce("parent_op_id", F.lit("")).alias("parent")).agg(F.count("*").alias("n"))

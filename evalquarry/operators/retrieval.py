@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evalquarry.plans.shipping import ship
-from evalquarry.plans.storage import saved
+from evalquarry.plans.storage import saved, spread
 
 BROADCAST_ROWS = 20_000
 
@@ -103,8 +104,8 @@ def bm25_texts(queries: DataFrame, documents: DataFrame, top_k: int, split: str
     ship(spark)
     bag = saved(queries.groupBy("query_id", "w").agg(F.count("*").alias("qtf")))
     blocks = _parts(bag.select("query_id").distinct().count())
-    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    kind = queries.schema["query_id"].dataType.simpleString()
+    texts = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
+    kind, arrow = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
 
     def words_of(apart: re.Pattern, text: pa.Scalar) -> list[str]:
         return [w for w in apart.split(text.as_py() or "") if w]
@@ -136,32 +137,38 @@ def bm25_texts(queries: DataFrame, documents: DataFrame, top_k: int, split: str
             return None
         names = sorted({r["query_id"] for r in rows})
         place = {q: i for i, q in enumerate(names)}
-        asked: list = [([], []) for _ in terms]
-        for r in rows:
-            asked[terms[r["w"]]][0].append(place[r["query_id"]])
-            asked[terms[r["w"]]][1].append(r["qtf"])
+        at = np.array([terms[r["w"]] for r in rows])
+        order = np.argsort(at, kind="stable")
+        asked = np.array([place[r["query_id"]] for r in rows])[order], np.array([r["qtf"] for r in rows], float)[order]
+        first = np.searchsorted(at[order], np.arange(len(terms) + 1))  # the queries of term t are at first[t]:first[t+1]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        shared = spark.sparkContext.broadcast((terms, [(np.array(q, np.int64), np.array(t, float)) for q, t in asked], idf, length / n, names))
+        shared = spark.sparkContext.broadcast((terms, *asked, first, idf, length / n, names))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, asked, idf, mean, names = shared.value
+            known, query, times, first, idf, mean, names = shared.value
             apart = re.compile(split)
             held: list = [([], []) for _ in names]
+            least = np.zeros(len(names))  # below this a document is not among a query's best
 
             def settle(i: int) -> None:
                 s, d = np.array(held[i][0]), np.array(held[i][1], np.int64)
                 top = _best(s, d, top_k)
                 held[i] = s[top].tolist(), d[top].tolist()
+                if len(top) == top_k:
+                    least[i] = s[top[-1]]
 
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    words, score = words_of(apart, text), np.zeros(len(names))
-                    for w, tf in Counter(words).items():
-                        if (t := known.get(w)) is not None:
-                            q, times = asked[t]
-                            score[q] += times * (idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean)))
-                    score = np.round(score, digits)
-                    for i in np.flatnonzero(score > 0).tolist():
+                    words = words_of(apart, text)
+                    met = [(t, tf) for w, tf in Counter(words).items() if (t := known.get(w)) is not None]
+                    if not met:
+                        continue
+                    t, tf = (np.array(x) for x in zip(*met, strict=True))
+                    weight = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean))
+                    n = first[t + 1] - first[t]
+                    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[t], n)
+                    score = np.round(np.bincount(query[inner], times[inner] * np.repeat(weight, n), len(names)), digits)
+                    for i in np.flatnonzero((score > 0) & (score >= least)).tolist():
                         held[i][0].append(score[i])
                         held[i][1].append(doc)
                         if len(held[i][0]) > 8 * top_k + 64:
@@ -169,7 +176,7 @@ def bm25_texts(queries: DataFrame, documents: DataFrame, top_k: int, split: str
             for i, name in enumerate(names):
                 if held[i][0]:
                     settle(i)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held[i][0])), pa.array(held[i][1], pa.int64()), pa.array(held[i][0], pa.float64())], names=["query_id", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held[i][0]), arrow), pa.array(held[i][1], pa.int64()), pa.array(held[i][0], pa.float64())], names=["query_id", "doc_id", "score"])
 
         return ranked(texts.mapInArrow(run, f"query_id {kind}, doc_id bigint, score double"), F.desc("score"), F.asc("doc_id"), top_k=top_k)
 

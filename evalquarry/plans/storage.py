@@ -32,3 +32,11 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/evalquarry/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
+    """A table that is small for the cluster, dealt over its cores; a large one as it lies. For work
+    on texts that one file's few row groups would leave to few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < bytes_per_core * cores else df

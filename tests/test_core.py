@@ -298,7 +298,7 @@ def test_evaluation_refuses_missing_traces(spark):
 
 def test_paired_comparison_equals_plain_python(spark):
     r = random.Random(6)
-    rows = [(run, p, f"q{i}", 0, "ndcg", 10, round(r.random() + (0.2 if run == "cand" and p == "x" else 0), 3)) for run in ("base", "cand") for p in "xyz" for i in range(30) if run == "base" or i or p != "z"]
+    rows = [(run, p, f"q{i}", 0, "ndcg", 10, round(r.random() + (0.6 if run == "cand" and p == "x" else 0), 3)) for run in ("base", "cand") for p in "xyz" for i in range(30) if run == "base" or i or p != "z"]
     m = spark.createDataFrame(rows, "run_id string, pipeline_id string, query_id string, stage_index int, metric_name string, k int, value double")
     got = {r_["pipeline_id"]: r_ for r_ in C.compared(C.of_run(m, "base"), C.of_run(m, "cand")).collect()}
     value = {(run, p, q): v for run, p, q, *_, v in rows}
