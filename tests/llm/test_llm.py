@@ -754,3 +754,18 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert tuple(stage(spark, docs.limit(0), sf).columns) == corpus_pipeline.COLUMNS
         docs = stage(spark, docs, sf)
+
+
+@pytest.mark.parametrize(("query", "label"), [("op1_quality_classifier", "quality"), ("op9_levenshtein_toxicity", "toxic")])
+def test_held_out_accuracy(spark, query, label):
+    """Of the labelled rows that no model saw nearly all are told apart, with scores in order. One
+    in twenty toxic labels is on a text that has no insult, which no model of words can find."""
+    from evalquarry.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y"))
+    rows = queries.QUERIES[query](spark, sf).where("held_out").join(labels, "doc_id").collect()
+    assert len(rows) >= 500 and len({r["y"] for r in rows}) == 2
+    assert sum(r["predicted"] == r["y"] for r in rows) >= 0.97 * len(rows)
+    ones, zeros = ([r["score"] for r in rows if r["y"] == y] for y in (1, 0))
+    assert sum(a > b for a in ones for b in zeros) >= 0.9 * len(ones) * len(zeros)
