@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import zlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
+
+from evalquarry.plans.shipping import ship
 
 
 def document_of(cands: DataFrame, chunk_map: DataFrame) -> DataFrame:
@@ -71,3 +80,34 @@ def in_namespace(qrels: DataFrame, chunk_map: DataFrame) -> DataFrame:
     wrong = F.raise_error(F.concat(F.col("doc_id"), F.lit(" is in several namespaces")))
     j = qrels.join(spaces, "doc_id", "left")
     return j.select("query_id", F.when(F.col("n") > 1, wrong).otherwise(F.coalesce("space", F.lit("default"))).alias("namespace"), F.col("doc_id").alias("entity_id"), "grade")
+
+
+def listed_digest(lines: DataFrame, *order: str) -> str | None:
+    """SHA-256 of the texts in line, joined by commas in this order; null lines are left out, and
+    without a line there is none.
+
+    No task holds all lines. Ranges of them are sorted and joined to blocks, an Arrow batch each,
+    which are packed; one task, as the hash wants them in turn, takes the blocks in order
+    and lets go of each. A sort of packed blocks can spill."""
+    ship(lines.sparkSession)
+    said = lines.where(F.col("line").isNotNull()).select(*order, "line")
+    kinds = StructType([*said.drop("line").schema]).add("block", LongType()).add("packed", BinaryType())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            if len(batch):
+                text = pc.binary_join(pa.ListArray.from_arrays([0, len(batch)], batch.column("line")), ",")[0].as_py()
+                first = [batch.column(c).slice(0, 1) for c in order]  # equal keys are in one range, where the number tells them apart
+                yield pa.RecordBatch.from_arrays([*first, pa.array([number], pa.int64()), pa.array([zlib.compress(text.encode(), 1)])], names=kinds.names)
+
+    def digest(blocks: Iterable[Row]) -> Iterator[str]:
+        whole, between = hashlib.sha256(), b""
+        for (packed,) in blocks:
+            whole.update(between)
+            whole.update(zlib.decompress(packed))
+            between = b","
+        if between:
+            yield whole.hexdigest()
+
+    blocks = said.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, kinds)
+    return next(iter(blocks.repartition(1).sortWithinPartitions(*order, "block").select("packed").rdd.mapPartitions(digest).collect()), None)

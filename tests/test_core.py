@@ -1,5 +1,6 @@
 """Hand-computed values, exact enumerations, graph rules and plans."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -14,6 +15,7 @@ from evalquarry.bindings import Evidence
 from evalquarry.functions import identity
 from evalquarry.functions import scalar as X
 from evalquarry.operators import comparison as C
+from evalquarry.operators import judgments as J
 from evalquarry.operators import release
 from evalquarry.operators import retrieval as R
 from evalquarry.operators import scoring as S
@@ -343,3 +345,30 @@ def test_bm25_over_texts_equals_postings(spark, monkeypatch):
         got = sorted((x["query_id"], x["doc_id"], x["score"], x["rank"]) for x in R.bm25_texts(q, d, 5).collect())
         assert [(x[0], x[3]) for x in got] == [(x[0], x[3]) for x in want] and all(math.isclose(a[2], b[2], abs_tol=2e-6) for a, b in zip(got, want, strict=True))
     assert R.bm25_texts(q, d.limit(0), 5).count() == 0 and R.bm25_texts(q.limit(0), d, 5).count() == 0
+
+
+def test_listed_digest_equals_one_text(spark):
+    r = random.Random(5)
+    keys = [(r.choice(["q1", "q10", "q2", "é"]), f"d{r.randint(0, 40)}", r.randint(0, 2)) for _ in range(300)] + [("q1", "d1", 1)] * 40
+    rows = [(*k, " ".join(map(str, k)) if k[1] != "d3" else None) for k in keys]
+    want = hashlib.sha256(",".join(x for *_, x in sorted(rows, key=lambda x: (x[0].encode(), x[1], x[2])) if x is not None).encode()).hexdigest()
+    lines = spark.createDataFrame(rows, "q string, d string, g int, line string")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, parts in (("10000", 1), ("7", 3)):  # one block, and many, also of equal keys
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert J.listed_digest(lines.repartition(parts), "q", "d", "g") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert J.listed_digest(lines.where("line is null"), "q", "d", "g") is None
+
+
+def test_scope_gathers_no_list_of_judgments(spark, tmp_path):
+    """I01: no row holds all judgments; without any there is no digest, as the SQL has it."""
+    one = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id = 0")
+    one.write.parquet(f"{tmp_path}/embeddings.parquet")
+    q = QUERIES["I01_scope_resolve"](spark, str(tmp_path))
+    assert "collect_list" not in q._jdf.queryExecution().toString()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, q.select("run_id", "queries", "judgments", "digest", "k").collect())) == sorted(duck.execute(f"SELECT run_id, queries, judgments, digest, k FROM ({ORACLE_SQL['I01_scope_resolve']})").fetchall())
